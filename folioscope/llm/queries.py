@@ -4,12 +4,37 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.llm import textform, tokens
+from folioscope.llm import names, splits, textform, tokens
+from folioscope.operators.packed import explode_packed
 from folioscope.sources.tables import table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
+SHARES = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def _mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return explode_packed(table(spark, sf_dir, "train", "id", "authors"), "authors", value="name").select("id", "name")
+
+
+def p1_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, group_id, split): train papers in splits that keep persons and series together."""
+    return splits.grouped_split(table(spark, sf_dir, "train", "id", "venue", "label"), _mentions(spark, sf_dir), SHARES)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, group_id): the group of each train paper."""
+    return p1_split(spark, sf_dir).select("id", "group_id")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name_a, name_b): different spellings of one person."""
+    papers = table(spark, sf_dir, "train", "id", "venue").select("id", splits.series_key("venue").alias("key"))
+    persons, _, _ = names.people(_mentions(spark, sf_dir), papers)
+    return names.variant_pairs(persons)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, field): cells of train with a character that stands in for a usual one."""
     cells = textform.disguised_cells(table(spark, sf_dir, "train", "id", "title", "authors"), "id", "title", "authors")
@@ -21,5 +46,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {"p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

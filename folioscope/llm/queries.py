@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folioscope.llm import names, splits, textform, tokens
+from folioscope.llm import names, overlap, splits, textform, tokens
 from folioscope.operators.packed import explode_packed
 from folioscope.sources.tables import table
 
@@ -35,6 +36,25 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return names.variant_pairs(persons)
 
 
+def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("id", "title", "venue", "year", "doi")
+    parts = [table(spark, sf_dir, s, *columns).withColumn("source_split", F.lit(s)) for s in ("public_test", "private_test")]
+    return overlap.cross_split_overlaps(parts[0].unionByName(parts[1]), table(spark, sf_dir, "train", *columns))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_split, test_id, train_id): test papers that also stand in train."""
+    return _overlaps(spark, sf_dir).select("source_split", "test_id", "train_id")
+
+
+def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_split, series, papers, pairs): overlaps per test split and venue series."""
+    tests = [table(spark, sf_dir, s, "id", "venue").withColumn("source_split", F.lit(s)) for s in ("public_test", "private_test")]
+    venue = tests[0].unionByName(tests[1]).select("source_split", F.col("id").alias("test_id"), splits.series_key("venue").alias("series"))
+    found = p6_found(spark, sf_dir).join(venue.dropDuplicates(["source_split", "test_id"]), ["source_split", "test_id"], "left")
+    return found.groupBy("source_split", "series").agg(F.count_distinct("test_id").alias("papers"), F.count("*").alias("pairs"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, field): cells of train with a character that stands in for a usual one."""
     cells = textform.disguised_cells(table(spark, sf_dir, "train", "id", "title", "authors"), "id", "title", "authors")
@@ -46,5 +66,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import names, overlap, splits, textform, tokens
+from folioscope.llm import linkage, names, overlap, splits, textform, tokens
 from folioscope.operators.packed import explode_packed
 from folioscope.sources.tables import table
 
@@ -29,6 +29,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p1_split(spark, sf_dir).select("id", "group_id")
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, openalex_id, confidence): records of train papers."""
+    records = table(spark, sf_dir, "openalex_title_features", "openalex_id", "openalex_title", "openalex_year", "openalex_doi")
+    return linkage.link_sources(table(spark, sf_dir, "train", "id", "title", "venue", "year", "doi"), records)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, openalex_id): the same work."""
+    return p3_links(spark, sf_dir).select("id", "openalex_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b): different spellings of one person."""
     papers = table(spark, sf_dir, "train", "id", "venue").select("id", splits.series_key("venue").alias("key"))
@@ -66,5 +77,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

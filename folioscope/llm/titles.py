@@ -35,8 +35,8 @@ SHAPE = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.St
 
 
 def _plain(text: str) -> str:
-    text = html.unescape(transducer().apply(text) or "")
-    low = unicodedata.normalize("NFKD", text.lower().replace("’", "'").replace("'", ""))
+    text = html.unescape((transducer().apply(text) or "").lower())
+    low = unicodedata.normalize("NFKD", text.replace("’", "'").replace("'", ""))
     return "".join(c for c in low if not unicodedata.combining(c)).strip()
 
 
@@ -80,6 +80,7 @@ class Speller:
                 less = word[:i] + word[i + 1 :]
                 maybe |= self.near.get(less, set()) | ({less} if less in self.usual and len(less) > 4 else set())
             hits = [w for w in maybe if edit_distance(word, w) <= 1]
+            hits = [w for w in hits if len(w) == len(word)] if len(hits) > 1 else hits
             self.memo[word] = hits[0] if len(hits) == 1 else default
         return self.memo[word]
 
@@ -114,7 +115,7 @@ def with_grams(df: DataFrame, usual: frozenset[str], size: int = 5) -> DataFrame
     return df.withColumn("grams", F.when(n > 0, F.array_distinct(F.concat(runs, rare))).otherwise(F.array().cast("array<bigint>")))
 
 
-def gram_candidates(left: DataFrame, right: DataFrame, key: str, other: str, share: float = 0.5) -> DataFrame:
+def gram_candidates(left: DataFrame, right: DataFrame, key: str, other: str, share: float = 0.2) -> DataFrame:
     """(key, other, shared): pairs of which one side holds at least ``share`` of the grams of the other.
 
     Each side is probed by the rarest grams that such a pair cannot do without (|g| - ceil(share * |g|) + 1 of them)
@@ -139,7 +140,7 @@ def likeness(a: list[str], b: list[str]) -> tuple[float, str]:
     for word in list(rest_a):
         for mate in rest_b:
             least = min(len(word), len(mate))
-            if least >= 4 and edit_distance(word, mate) <= (1 if least < 7 else 2 if least < 12 else 3):
+            if least >= 4 and edit_distance(word, mate) <= (1 if least < 5 else 2 if least < 12 else 3):
                 rest_a.remove(word)
                 rest_b.remove(mate)
                 same += 1
@@ -149,8 +150,10 @@ def likeness(a: list[str], b: list[str]) -> tuple[float, str]:
     if not rest_a and not rest_b:
         return score, "same"
     short, long, rest = (a, b, rest_a) if len(a) <= len(b) else (b, a, rest_b)
-    if len(short) >= 3 and len(long) > len(short):
+    if len(short) >= 3:
         head = long[: len(short)]
+        if len(short) > 3 and len(short[-1]) < 4 and not head[-1].startswith(short[-1]):  # the rest of a word that does not count
+            short, head, rest = short[:-1], head[:-1], [w for w in rest if w != short[-1]]
         match = sum(x == y or (len(x) > 3 and edit_distance(x, y) <= 1) for x, y in zip(short[:-1], head[:-1]))
         last = head[-1].startswith(short[-1]) or edit_distance(short[-1], head[-1]) <= 1
         if match >= len(short) - 1 and last and len(rest) <= 1:

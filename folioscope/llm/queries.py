@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import linkage, names, overlap, splits, textform, tokens
+from folioscope.llm import linkage, names, overlap, splits, survivors, textform, tokens
 from folioscope.operators.packed import explode_packed
 from folioscope.sources.tables import table
 
@@ -40,6 +40,22 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_links(spark, sf_dir).select("id", "openalex_id")
 
 
+def _crawls(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    abstracts = table(spark, sf_dir, "abstracts_merged_v3", "rec_id", "source_split", "id", "title", "abstract", "oat_match_score", "fetched_at")
+    return abstracts, table(spark, sf_dir, "s2_match_abstracts", "rec_id", "source_split", "id", "source_title", "found", "tldr", "match_score", "error", "fetched_at")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_split, id, field, rec_id): the record whose value survives, of groups of two records or more."""
+    long = survivors.survivors(survivors.unpivoted(*_crawls(spark, sf_dir)))
+    return long.filter("records > 1").select("source_split", "id", "field", "rec_id")
+
+
+def p4_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One abstract and one tldr per paper."""
+    return survivors.merged_papers(*_crawls(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b): different spellings of one person."""
     papers = table(spark, sf_dir, "train", "id", "venue").select("id", splits.series_key("venue").alias("key"))
@@ -77,5 +93,5 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import linkage, names, overlap, splits, survivors, textform, tokens
+from folioscope.llm import linkage, names, overlap, personal, splits, survivors, textform, tokens
 from folioscope.operators.packed import explode_packed
 from folioscope.sources.tables import table
 
@@ -93,5 +93,25 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
-QUERIES = {"p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
+def _given(spark: SparkSession, sf_dir: str) -> frozenset[str]:
+    return frozenset(names.given_lexicon(_mentions(spark, sf_dir), "name"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kind, value): each different piece of personal information of a document."""
+    found = personal.find_personal(table(spark, sf_dir, "documents", "doc_id", "text"), _given(spark, sf_dir))
+    return found.select("doc_id", F.explode("entities").alias("e")).select("doc_id", "e.kind", "e.value").distinct()
+
+
+def p10_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents with keyed surrogates in the place of personal information."""
+    return personal.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), _given(spark, sf_dir), "folioscope")
+
+
+def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): documents with typed placeholders in the place of personal information."""
+    return personal.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), _given(spark, sf_dir), "folioscope", style="placeholder")
+
+
+QUERIES = {"p10_found": p10_found, "p10_masked": p10_masked, "p10_text": p10_text, "p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
 ORACLES: dict[str, str] = {}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import html
 import unicodedata
 from collections import Counter
@@ -115,12 +114,12 @@ def with_grams(df: DataFrame, usual: frozenset[str], size: int = 5) -> DataFrame
     return df.withColumn("grams", F.when(n > 0, F.array_distinct(F.concat(runs, rare))).otherwise(F.array().cast("array<bigint>")))
 
 
-def gram_candidates(left: DataFrame, right: DataFrame, key: str, other: str, share: float = 0.2) -> DataFrame:
+def gram_candidates(left: DataFrame, right: DataFrame, key: str, other: str, share: float = 0.28) -> DataFrame:
     """(key, other, shared): pairs of which one side holds at least ``share`` of the grams of the other.
 
     Each side is probed by the rarest grams that such a pair cannot do without (|g| - ceil(share * |g|) + 1 of them)
     against all grams of the other side, in both directions, so frequent grams are joined only where a record has no
-    rarer ones, and nothing is lost for it.
+    rarer ones. Pairs that share less are dropped by their count, before anything else is joined to them.
     """
     a = left.select(F.col(key).alias("k"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     b = right.select(F.col(other).alias("o"), F.size("grams").alias("m"), F.explode("grams").alias("gram"))
@@ -129,22 +128,34 @@ def gram_candidates(left: DataFrame, right: DataFrame, key: str, other: str, sha
     need = lambda c: F.col(c) - F.ceil(F.col(c) * share) + 1
     a = a.withColumn("probe", F.row_number().over(Window.partitionBy("k").orderBy("df", "gram")) <= need("n"))
     b = b.withColumn("probe", F.row_number().over(Window.partitionBy("o").orderBy("df", "gram")) <= need("m"))
-    pairs = a.select("k", "gram", F.col("probe").alias("p")).join(b.select("o", "gram", F.col("probe").alias("q")), "gram").filter("p or q")
-    return pairs.groupBy("k", "o").agg(F.count("*").alias("shared")).withColumnsRenamed({"k": key, "o": other})
+    pairs = a.select("k", "n", "gram", F.col("probe").alias("p")).join(b.select("o", "m", "gram", F.col("probe").alias("q")), "gram").filter("p or q")
+    counted = pairs.groupBy("k", "o").agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("m")).alias("least"))
+    return counted.filter(F.col("shared") >= share * F.col("least")).select(F.col("k").alias(key), F.col("o").alias(other), "shared")
+
+
+def _misspelt(word: str, mate: str) -> bool:
+    """Whether two words differ by a few typing errors; what cannot be is told by lengths and letters."""
+    least = min(len(word), len(mate))
+    limit = 0 if least < 4 else 1 if least < 5 else 2 if least < 12 else 3
+    if abs(len(word) - len(mate)) > limit or not limit:
+        return False
+    letters = Counter(word)
+    letters.subtract(mate)
+    return sum(abs(n) for n in letters.values()) <= 2 * limit and edit_distance(word, mate) <= limit
 
 
 def likeness(a: list[str], b: list[str]) -> tuple[float, str]:
     """How much two titles say the same, and how they relate: same, prefix, or other."""
     rest_a, rest_b = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
     same = len(a) - len(rest_a)
-    for word in list(rest_a):
-        for mate in rest_b:
-            least = min(len(word), len(mate))
-            if least >= 4 and edit_distance(word, mate) <= (1 if least < 5 else 2 if least < 12 else 3):
-                rest_a.remove(word)
-                rest_b.remove(mate)
-                same += 1
-                break
+    if same >= 0.5 * min(len(a), len(b)):
+        for word in list(rest_a):
+            for mate in rest_b:
+                if _misspelt(word, mate):
+                    rest_a.remove(word)
+                    rest_b.remove(mate)
+                    same += 1
+                    break
     total = max(len(a) + len(b) - same, 1)
     score = same / total
     if not rest_a and not rest_b:
@@ -166,9 +177,14 @@ JUDGED = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("re
 
 @F.pandas_udf(JUDGED)
 def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    """Likeness of two token lists."""
-    memo = functools.lru_cache(50_000)(lambda x, y: likeness(list(x), list(y)))
-    return pd.DataFrame([memo(tuple(x), tuple(y)) for x, y in zip(a, b)], columns=JUDGED.names)
+    """Likeness of two titles given as their content words with a space between."""
+    return pd.DataFrame([likeness(x.split(), y.split()) for x, y in zip(a, b)], columns=JUDGED.names)
+
+
+def judged(pairs: DataFrame, a: str, b: str, least: float = 0.6) -> DataFrame:
+    """The pairs that share ``least`` of the words of the shorter title, with their likeness in ``j``."""
+    near = pairs.filter(F.size(F.array_intersect(a, b)) >= least * F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
+    return near.withColumn("j", judge(F.array_join(a, " "), F.array_join(b, " ")))
 
 
 def doi_parts(doi: str):

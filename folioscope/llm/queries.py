@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioscope.llm import linkage, names, overlap, personal, splits, survivors, textform, tokens
+from folioscope.llm import leakage, linkage, names, overlap, personal, splits, survivors, textform, tokens
 from folioscope.operators.packed import explode_packed
 from folioscope.sources.tables import table
 
@@ -93,6 +93,17 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents", "doc_id", "text"), VOCABULARY)
 
 
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id, score): documents with the evaluation items that leaked into them."""
+    items = [(r["item_id"], r["text"]) for r in table(spark, sf_dir, "eval_items", "item_id", "text").orderBy("item_id").toLocalIterator()]
+    return leakage.leaked(table(spark, sf_dir, "documents", "doc_id", "text"), items)
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, item_id): documents that hold a passage of an item."""
+    return p9_leaks(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 def _given(spark: SparkSession, sf_dir: str) -> frozenset[str]:
     return frozenset(names.given_lexicon(_mentions(spark, sf_dir), "name"))
 
@@ -113,5 +124,5 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), _given(spark, sf_dir), "folioscope", style="placeholder")
 
 
-QUERIES = {"p10_found": p10_found, "p10_masked": p10_masked, "p10_text": p10_text, "p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids}
+QUERIES = {"p10_found": p10_found, "p10_masked": p10_masked, "p10_text": p10_text, "p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 ORACLES: dict[str, str] = {}

@@ -2,41 +2,73 @@
 
 Fields are unpivoted to long rows; each row votes for its normalised value with the trust in its source times a decay
 with age; votes are summed per value before anything is gathered per record; winners come from max_by, and are
-pivoted back. All work is done by built-in expressions and partial aggregates.
+pivoted back. Only the normal form of a value is made in Python, once per row; all else is partial aggregates.
 """
 
 from __future__ import annotations
 
+import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioscope.llm.textform import consistent_form
+from folioscope.llm.textform import transducer
 
 # Texts that stand where a value is missing.
 PLACEHOLDERS = ("", "-", "n/a", "na", "none", "null", "nan", "tba", "tbd", "abstract", "no abstract", "no abstract available", "this article has no abstract", "see title", "see pdf", "tl;dr", "tldr", "tldr not generated", "not available", "not generated")
 # Words of titles that say nothing about a subject.
 PLAIN_WORDS = ("with", "from", "towards", "what", "wrong", "case", "that", "this", "their", "some", "into", "upon", "over", "part", "report", "short", "paper", "version", "extended", "abstract")
-_PREFIX = r"(?i)^(?:abstract|summary|tl;?dr)\s*[:.—–-]*\s+"
-_SUFFIX = r"(?i)(?:\s*(?:(?:published online|received in|received|accepted|keywords|key words)\b[^.]*\.|(?:©|\(c\)|copyright)[^.]*\.|all rights reserved\.|personal use only\.))+\s*$"
-_FAILED = r"(?i)^(?:error \d+|https? error|\[abstract removed|\[?(?:abstract|content) (?:not available|withheld|removed)|(?:see title\s*)+$)"
+_TAG = regex.compile(r"<[^<>]{1,40}>")
+_PREFIX = regex.compile(r"(?:abstract|summary|tl;?dr)\s*[:.—–-]*\s+", regex.I)
+_NOTICES = ("published online", "received", "accepted", "keywords", "key words", "©", "(c)", "copyright", "reserved", "use only")
+_SUFFIX = regex.compile(r"(?:\s*(?:(?:published online|received in|received|accepted|keywords|key words)\b[^.]*\.|(?:©|\(c\)|copyright)[^.]*\.|all rights reserved\.|personal use only\.))+\s*$", regex.I)
+_FAILED = regex.compile(r"error \d+|https? error|\[abstract removed|\[?(?:abstract|content) (?:not available|withheld|removed)|(?:see title\s*)+$", regex.I)
+_SENTENCE = regex.compile(r"(?<=[.?!])\s+")
+_LONG = regex.compile(r"[a-z]{4,}")
 DECAY_DAYS = 180.0
 
 
-def undressed(text: Column) -> Column:
+def undressed(text: str) -> str:
     """The value itself: tags, labels before it and notices after it off, white space collapsed."""
-    bare = F.trim(F.regexp_replace(F.regexp_replace(text, r"<[^<>]{1,40}>", " "), r"(?U)\s+", " "))
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, _PREFIX, ""), _SUFFIX, ""))
-
-
-def _words(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.length(w) > 3))
-
-
-def about(wanted: Column, text: Column) -> Column:
-    """The largest share of the wanted words that two neighbouring sentences of the text hold; null where none is wanted."""
-    parts = F.split(text, r"(?<=[.?!])\s+")
-    best = F.array_max(F.transform(parts, lambda s, i: F.size(F.array_intersect(wanted, _words(F.concat_ws(" ", s, F.coalesce(F.get(parts, i + 1), F.lit(""))))))))
-    return F.when(F.size(wanted) > 0, best / F.size(wanted))
+    if not text.isascii():
+        text = transducer().apply(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    text = " ".join(text.split())
+    text = text[m.end() :] if (m := _PREFIX.match(text)) else text
+    low = text.lower()
+    if any(n in low for n in _NOTICES):
+        text = _SUFFIX.sub("", text)
+    return text.strip()
+
+
+def about(title: str, text: str) -> float | None:
+    """The largest share of the title's words that two neighbouring sentences of the text hold; none for a title without words."""
+    wanted = set(_LONG.findall((title if title.isascii() else transducer().apply(title)).lower())) - set(PLAIN_WORDS)
+    if not wanted:
+        return None
+    held = [wanted & set(_LONG.findall(s.lower())) for s in _SENTENCE.split(text)]
+    return max(len(a | b) for a, b in zip(held, [*held[1:], set()])) / len(wanted)
+
+
+def usable_key(value: str, title: str | None, score: float | None) -> str | None:
+    """The normalised value if it is a real text, complete and of the paper that the title names; else none."""
+    plain = undressed(value)
+    key = plain.lower()
+    if len(key) < 20 or key.rstrip(" .:…") in PLACEHOLDERS or _FAILED.match(key):
+        return None
+    if key[-1] not in ".?!。)\"'”’" or key.endswith(("...", ". . .", "…", ". ..")):
+        return None
+    if score is None or score != score:
+        share = about(title or "", plain)
+        return key if share is not None and share >= 0.4 else None
+    return key if score >= 0.8 else None
+
+
+@F.pandas_udf(T.StringType())
+def _keys(value: pd.Series, title: pd.Series, score: pd.Series) -> pd.Series:
+    return pd.Series([usable_key(v, t, s) for v, t, s in zip(value, title, score)], dtype=object)
 
 
 def trust(score: Column) -> Column:
@@ -57,20 +89,14 @@ def survivors(records: DataFrame) -> DataFrame:
     """
     group = ["source_split", "id", "field"]
     size = records.groupBy(*group).agg(F.count("*").alias("records"))
-    text = undressed(consistent_form("value"))
-    rows = records.filter("value is not null and not coalesce(failed, false)").withColumn("plain", text)
-    real = ~F.lower(F.regexp_replace("plain", r"[\s.:…]+$", "")).isin(*PLACEHOLDERS) & ~F.col("plain").rlike(_FAILED) & (F.length("plain") >= 20)
-    ended = F.col("plain").rlike(r"[.?!。)\"'”’]$") & ~F.col("plain").rlike(r"(?:\.\s?\.\s?\.|…)$")
-    rows = rows.filter(real & ended).withColumn("plain_title", consistent_form("title"))
-    rows = rows.withColumn("wanted", F.array_except(_words(F.col("plain_title")), F.array(*[F.lit(w) for w in PLAIN_WORDS])))
-    rows = rows.withColumns({"t": trust(F.col("score")), "share": about(F.col("wanted"), F.col("plain"))})
-    own = F.when(F.col("t").isNotNull(), (F.col("t") >= 0.8) & (F.coalesce("share", F.lit(1.0)) >= 0.15)).otherwise(F.coalesce("share", F.lit(0.0)) >= 0.4)
+    rows = records.filter("value is not null and not coalesce(failed, false)").withColumn("t", trust(F.col("score")))
+    rows = rows.withColumn("key", _keys("value", "title", "t")).filter("key is not null")
     vote = F.coalesce("t", F.lit(0.5)) * F.exp((F.unix_timestamp("fetched_at") - F.lit(1704067200)) / F.lit(86400 * DECAY_DAYS))
     order = F.struct(F.col("fetched_at").alias("at"), (-F.col("rec_id")).alias("first"))
-    rows = rows.filter(own).select(*group, "rec_id", "value", F.lower("plain").alias("key"), F.coalesce(vote, F.lit(0.0)).alias("vote"), order.alias("order"))
+    rows = rows.select(*group, "rec_id", "value", "key", F.coalesce(vote, F.lit(0.0)).alias("vote"), order.alias("order"))
     values = rows.groupBy(*group, "key").agg(F.sum("vote").alias("votes"), F.max_by("rec_id", "order").alias("rec_id"), F.max_by("value", "order").alias("value"), F.max("order").alias("order"))
     following = F.lead("key").over(Window.partitionBy(*group).orderBy("key"))
-    whole = values.withColumn("next", following).filter(F.col("next").isNull() | ~F.startswith(F.col("next"), F.regexp_replace("key", r"[.?!]+$", "")))
+    whole = values.withColumn("next", following).filter(F.col("next").isNull() | ~F.startswith(F.col("next"), F.rtrim("key", F.lit(".?!"))))
     best = F.struct("votes", "order")
     won = whole.groupBy(*group).agg(F.max_by("rec_id", best).alias("rec_id"), F.max_by("value", best).alias("value"), F.max("votes").alias("votes"))
     return won.join(size, group)

@@ -27,6 +27,7 @@ BUCKETS = 1 << 14  # hashed features
 RANK, EXTRA = 64, 8  # directions kept, and more of them while iterating
 PASSAGE = 24  # words of a document's window, half of them for an item's
 NEAR = 0.45  # cosine of a candidate
+OWN_PAIRS = 2.0  # word pairs of an item's own that a document has to hold
 SHARED = 3  # a sentence in so many items is an instruction
 ENOUGH = 8.0  # score of an alignment: about fifteen words, of which the usual half belongs to the style
 _TAG = regex.compile(r"<[^<>]{1,40}>|&\w{2,6};")
@@ -224,15 +225,23 @@ def leaked(documents: DataFrame, items: list[tuple[int, str | None]], key: str =
     some = base.filter("length(__text) > 0").select("__text")
     weights = inverse_frequencies(some)
     axes = directions(some, weights)
-    refs, vectors = [], []
+    names, starts_of, vectors, edges = [], [], [], []
     for i, words in own.items():
         starts, rows = fold_in(words, weights, axes, PASSAGE // 2, 4)
-        refs += [(i, int(s)) for s in starts]
+        edges.append(sum(map(len, starts_of)))
+        names.append(i)
+        starts_of.append(starts)
         vectors.append(rows)
     matrix = np.ascontiguousarray(np.concatenate(vectors).T)
-    pairs_of = {i: list(zip(w, w[1:])) for i, w in own.items()}
-    spread = Counter(p for pairs in pairs_of.values() for p in set(pairs))
+    pairs_of = [list(zip(own[i], own[i][1:])) for i in names]
+    spread = Counter(p for pairs in pairs_of for p in set(pairs))
     worth = {p: 1.0 / n for p, n in spread.items()}
+    # which items hold a word pair, as flat arrays: the answer check of a whole document is one lookup
+    holders: dict[tuple[str, str], list[int]] = {}
+    for seat, pairs in enumerate(pairs_of):
+        for p in set(pairs):
+            holders.setdefault(p, []).append(seat)
+    held = {p: np.asarray(seats) for p, seats in holders.items()}
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -242,29 +251,33 @@ def leaked(documents: DataFrame, items: list[tuple[int, str | None]], key: str =
                 if len(words) < 8:
                     continue
                 starts, rows = fold_in(words, weights, axes, PASSAGE, PASSAGE // 3)
-                at, ref = np.nonzero(rows @ matrix >= NEAR)
-                if not len(at):
+                near = rows @ matrix >= NEAR
+                hit = np.logical_or.reduceat(near.any(axis=0), edges)
+                if not hit.any():
                     continue
+                # answer check: enough word pairs that are the item's own, not its style
                 pairs = list(zip(words, words[1:]))
-                best: dict[int, float] = {}
-                near: dict[int, set[tuple[str, str]]] = {}
-                for a, r in zip(at.tolist(), ref.tolist()):
-                    item, begin = refs[r]
-                    if best.get(item, 0.0) >= ENOUGH:
-                        continue
-                    lo = int(starts[a])
-                    if a not in near:
-                        near[a] = set(pairs[max(0, lo - 4) : lo + PASSAGE + 4])
-                    wanted = pairs_of[item][begin : begin + PASSAGE // 2 - 1]
-                    # answer check: enough of the word pairs that are this item's own, not its style
-                    if sum(worth[p] for p in wanted if p in near[a]) < 0.3 * sum(worth[p] for p in wanted):
-                        continue
-                    score = alignment(own[item][max(0, begin - 16) : begin + PASSAGE // 2 + 16], says[item][max(0, begin - 16) : begin + PASSAGE // 2 + 16], words[max(0, lo - 20) : lo + PASSAGE + 20])
-                    best[item] = max(score, best.get(item, 0.0))
-                for item, score in best.items():
-                    if score >= ENOUGH:
+                own_pairs = np.zeros(len(names))
+                for p in set(pairs).intersection(held):
+                    own_pairs[held[p]] += worth[p]
+                for item in np.flatnonzero(hit & (own_pairs >= OWN_PAIRS)).tolist():
+                    said = own[names[item]]
+                    best, tried = 0.0, set()
+                    windows, refs = np.nonzero(near[:, edges[item] : edges[item] + len(starts_of[item])])
+                    for lo, begin in zip(starts[windows].tolist(), starts_of[item][refs].tolist()):
+                        spot = (lo // PASSAGE, begin // PASSAGE)
+                        if best >= ENOUGH or spot in tried:
+                            continue
+                        wanted = pairs_of[item][begin : begin + PASSAGE // 2 - 1]
+                        inside = set(pairs[max(0, lo - 4) : lo + PASSAGE + 4])
+                        if sum(worth[p] for p in wanted if p in inside) < 0.3 * sum(worth[p] for p in wanted):
+                            continue
+                        tried.add(spot)
+                        cut = slice(max(0, begin - PASSAGE), begin + 2 * PASSAGE)
+                        best = max(best, alignment(said[cut], says[names[item]][cut], words[max(0, lo - 2 * PASSAGE) : lo + 3 * PASSAGE]))
+                    if best >= ENOUGH:
                         keys.append(seat)
-                        found.append((item, score))
+                        found.append((names[item], best))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(keys, pa.int64())), pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.float64())], [key, "item_id", "score"]
             )

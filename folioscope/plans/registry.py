@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import packed_queries, profile_queries, text_queries
+from folioscope.plans import ordinal_queries, packed_queries, profile_queries, text_queries
 
-_MODULES = [packed_queries, text_queries, profile_queries]
+_MODULES = [packed_queries, text_queries, profile_queries, ordinal_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,4 +20,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_queries.p2_found(spark, sf_dir)
+    return ordinal_queries.QUERIES["g1_g4_gated_candidates"](spark, sf_dir)

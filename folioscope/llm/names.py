@@ -160,24 +160,25 @@ def radius_join(names: DataFrame, column: str) -> DataFrame:
     return near.filter(_distance("a", "b") == 1)
 
 
-def given_lexicon(values: DataFrame, column: str, share: float = 1e-5, least: int = 3) -> dict[str, int]:
+def given_lexicon(values: DataFrame, column: str, share: float = 1e-4, least: int = 3) -> dict[str, int]:
     """Usual given names and the number of families that bear each: first words of names, or words after "Family,".
 
     Kept are names borne by at least ``least`` families and the ``share`` of all families, so the result is bounded
     by the names per family divided by ``share`` whatever the size of the table.
     """
 
-    @F.pandas_udf(T.StructType([T.StructField("given", T.StringType()), T.StructField("family", T.StringType())]))
-    def rough(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [parse_name(x) for x in batch]
-            yield pd.DataFrame({"given": [r[1] if r[4] == "full" else None for r in rows], "family": [r[0] for r in rows]})
-
-    seen = values.select(F.col(column).alias("n")).filter("n is not null").distinct().select(rough("n").alias("r")).select("r.*").filter("given is not null")
-    counts = seen.groupBy("given").agg(F.count_distinct("family").alias("families"))
+    name = F.trim(F.regexp_replace(F.lower(F.col(column)), r"[\"“”(][^\"“”()]*[\"“”)]", " "))
+    parts = F.filter(F.split(F.regexp_replace(name, ",", " , "), r"\s+"), lambda w: w != "")
+    turned = F.array_contains(parts, ",")
+    given = F.when(turned, F.try_element_at(parts, (F.array_position(parts, ",") + 1).cast("int"))).otherwise(F.try_element_at(parts, F.lit(1)))
+    family = F.when(turned, F.try_element_at(parts, (F.array_position(parts, ",") - 1).cast("int"))).otherwise(F.try_element_at(parts, F.lit(-1)))
+    seen = values.select(column).filter(F.col(column).isNotNull()).distinct().select(given.alias("given"), family.alias("family"), F.size(parts).alias("n"))
+    counts = cut_lineage(seen.filter((F.col("n") > 1) & F.col("given").rlike(r"^[^\s.,\d]{2,}$")).groupBy("given").agg(F.count_distinct("family").alias("families")))
     total = counts.agg(F.sum("families")).first()[0] or 0
-    usual = counts.filter(F.col("families") >= max(least, total * share))
-    return {r["given"]: r["families"] for r in usual.toLocalIterator()}
+    out: dict[str, int] = {}
+    for row in counts.filter(F.col("families") >= max(least, total * share)).toLocalIterator():
+        out[fold(row["given"])] = out.get(fold(row["given"]), 0) + row["families"]
+    return {g: n for g, n in out.items() if g not in PARTICLES}
 
 
 def parse_column(lexicon: dict[str, int]):

@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import hmac
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -75,11 +76,11 @@ class Detector:
     def __init__(self, given: frozenset[str], towns: frozenset[str], common: frozenset[str], frequent: frozenset[str]) -> None:
         self.given = given | {fold(n) for n in NICKNAMES}
         self.towns, self.common, self.frequent = towns, common, frequent
+        self.memo: dict[str, bool] = {}
         self.streets = [regex.compile(p) for p in _STREETS]
         self.mails = [regex.compile(p) for p in _MAILS]
         self.phones = [regex.compile(p) for p in _PHONES]
         self.ids = [regex.compile(p) for p in _IDS]
-        self.quick_street = regex.compile(rf"(?i)box|postfach|{_EN}|{_FR}|{_ES}|straße|strasse|weg|allee|platz|gasse|ufer|ring|damm|markt|hof|steig|graben|apartado|\bam |\ban de|\bauf de|\bim |\bin de|\bzu[mr] |\bunter |\bhinter |\bvor |boîte|bp")
         self.full = regex.compile(rf"(?<![\p{{L}}\d.@_'’-])(?P<given>{_CAP})(?P<mid>(?:\s\p{{Lu}}\.){{0,2}})\s(?P<part>{_PART})(?P<family>{_CAP})(?![\p{{L}}\d@_])")
         self.short = regex.compile(rf"(?<![\p{{L}}\d.@_'’-])(?P<init>\p{{Lu}}\.(?:\s?\p{{Lu}}\.)?)\s(?P<part>{_PART})(?P<family>{_CAP})(?![\p{{L}}\d@_])")
         self.small = regex.compile(r"(?<![\p{L}\d.@_'’-])(?P<given>\p{Ll}{3,})(?:\s\p{Ll}\.)?\s(?P<part>(?:(?:de la|van der|von der|van|von|de|di|du|del|der)\s)*)(?P<family>\p{Ll}[\p{Ll}'’-]{3,})(?![\p{L}\d@_.+-]*@|[\p{L}\d_])")
@@ -108,57 +109,112 @@ class Detector:
             n += 1
         return len(" ".join(words[:n]))
 
+    def usual(self, word: str) -> bool:
+        """Whether the word is a usual given name, in whatever letter case and with whatever accents."""
+        known = self.memo.get(word)
+        if known is None:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            known = self.memo[word] = fold(word) in self.given
+        return known
+
     def find(self, text: str | None) -> list[tuple[str, str, int, int]]:
-        """(kind, value, start, end) of each entity, in order; earlier kinds win where spans overlap."""
+        """(kind, value, start, end) of each entity, in order; earlier kinds win where spans overlap.
+
+        Cheap signs say where a pattern can match at all; the patterns then run there and nowhere else.
+        """
         if not text:
             return []
         taken: list[tuple[str, int, int]] = []
 
-        def free(start: int, end: int) -> bool:
-            return all(end <= s or start >= e for _, s, e in taken)
-
         def add(kind: str, start: int, end: int) -> None:
-            if end > start and free(start, end):
+            if end > start and all(end <= s or start >= e for _, s, e in taken):
                 taken.append((kind, start, end))
 
         low = text.lower()
-        if "@" in text or "＠" in text or "at" in low or "arroba" in low:
-            for pattern in self.mails:
+        signs = ("@" in text or "＠" in text, any(x in low for x in _AT_SIGNS), " dot " in low)
+        for on, pattern in zip(signs, self.mails):
+            if on:
                 for m in pattern.finditer(text):
                     add("email", m.start(), m.end())
-        if self.quick_street.search(text):
+        spots = _commas(low) if len(low) == len(text) else list(range(0, len(text), 100))
+        for lo, hi in _windows(spots, 120, 90, len(text)):
             for pattern in self.streets:
-                for m in pattern.finditer(text):
+                for m in pattern.finditer(text, lo, hi):
                     end = m.end() if m.groupdict().get("code") else m.start("tail") + self.town(m.group("tail"))
                     add("address", m.start(), end)
-        digits = sum(c.isdigit() for c in text)
-        if digits >= 5:
+        if any(x in low for x in _ID_SIGNS):
             for pattern in self.ids:
                 for m in pattern.finditer(text):
                     if sum(c.isdigit() for c in m.group("value")) >= 5:
                         add("id_number", m.start("value"), m.end("value"))
+        runs = [m.start() for m in _DIGITS.finditer(text)]
+        for lo, hi in _windows(runs, 6, 40, len(text)):
             for pattern in self.phones:
-                for m in pattern.finditer(text):
+                for m in pattern.finditer(text, lo, hi):
                     if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                         add("phone", m.start(), m.end())
-        for m in self.full.finditer(text, overlapped=True):
-            if fold(m.group("given")) in self.given and self.family(m.group("family"), False) and fold(m.group("family")) not in self.given:
+        known = {w for w in set(_WORDS.findall(text)) if self.usual(w)}
+        hits = [m for m in _WORDS.finditer(text) if m.group() in known] if known else []
+        initials = [m.start() for m in _INITIAL.finditer(text) if text[m.start()].isupper()]
+        for h in hits:
+            if (m := self.full.match(text, h.start())) and self.usual(m.group("given")) and self.family(m.group("family"), False) and not self.usual(m.group("family")):
                 add("name", m.start(), m.end())
-        for m in self.turned.finditer(text, overlapped=True):
-            start = m.start("part") if m.group("part") else m.start("family")
-            if not self.family(m.group("family"), True) or fold(m.group("family")) in self.given:
+        for at in sorted([h.start() for h in hits] + initials):
+            comma = text.rfind(",", max(0, at - 3), at)
+            if comma < 0:
                 continue
-            if m.group("given") and fold(m.group("given")) in self.given or m.group("init"):
-                add("name", start, m.end())
-        for m in self.small.finditer(text, overlapped=True):
-            if fold(m.group("given")) in self.given and self.family(m.group("family"), True):
+            for m in self.turned.finditer(text, max(0, comma - 60), min(len(text), at + 60), overlapped=True):
+                start = m.start("part") if m.group("part") else m.start("family")
+                if m.end("family") == comma and self.family(m.group("family"), True) and not self.usual(m.group("family")) and (m.group("init") or self.usual(m.group("given"))):
+                    add("name", start, m.end())
+                    break
+        for h in hits:
+            if h.group()[0].islower() and (m := self.small.match(text, h.start())) and self.usual(m.group("given")) and self.family(m.group("family"), True):
                 add("name", m.start(), m.end())
-        for m in self.short.finditer(text, overlapped=True):
-            if self.family(m.group("family"), True):
+        for at in initials:
+            if (m := self.short.match(text, at)) and self.family(m.group("family"), True):
                 add("name", m.start(), m.end())
         return [(kind, text[s:e], s, e) for kind, s, e in sorted(taken, key=lambda x: x[1])]
 
 
+# Signs of a pattern, cheap to look for.
+_AT_SIGNS = tuple(o + a for o in "[({" for a in ("at", "@", "arroba", "ät"))
+_STREET_ENDS = ("street", "road", "lane", "terrace", "avenue", "court", "drive", "way", "square", "place", "close", "row", "crescent", "garden", "gardens")
+_ID_SIGNS = ("ssn", "social", "passport", "passeport", "pasaporte", "card", "carte", "carnet", "national", "tax", "licence", "license", "personal", "steuer", "ausweis", "reisepass", "versicherung", "führerschein", "permis", "numéro", "número", "dni", "nie ", "nif")
+_DIGITS = re.compile(r"[+(]?\d[\d .()/+-]{6,}\d")
+_WORDS = re.compile(r"[^\W\d_]+")
+_UPPER = "".join(chr(c) for c in range(65, 0x530) if chr(c).isupper())
+_INITIAL = re.compile(rf"[{_UPPER}]\.(?<![\w.]..)(?=[\s)|]|$|[^\W\d_]\.)")
+
+
+def _commas(low: str) -> list[int]:
+    """Commas after a street or a number, or before a postal code."""
+    out, at = [], low.find(", ")
+    while at >= 0:
+        last = low[at - 1 : at]
+        if last.isdigit() or (low[at - 2 : at - 1].isdigit() and last.isalpha()) or low[at + 2 : at + 7].isdigit() or low.endswith(_STREET_ENDS, max(0, at - 12), at):
+            out.append(at)
+        at = low.find(", ", at + 2)
+    return out
+
+
+
+def _windows(spots: list[int], before: int, after: int, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of text around the spots, joined where they overlap."""
+    lo = hi = -1
+    for spot in spots:
+        a, b = max(0, spot - before), min(size, spot + after)
+        if a <= hi:
+            hi = max(hi, b)
+        else:
+            if hi >= 0:
+                yield lo, hi
+            lo, hi = a, b
+    if hi >= 0:
+        yield lo, hi
+
+
 def word_lists(texts: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
     """Towns, words common in lower case, and words frequent at all, counted over all texts.
 

@@ -195,13 +195,14 @@ def parse_column(lexicon: dict[str, int]):
     return parse
 
 
-def people(mentions: DataFrame, circles: DataFrame | None, typed_ratio: int = 10) -> tuple[DataFrame, DataFrame]:
+def people(mentions: DataFrame, circles: DataFrame | None, typed_ratio: int = 10) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Person of each (id, name) of ``mentions``, and the circles with what joins them.
 
-    Returns (id, name, circle, person) and (src, dst): edges between circles that share a person. ``circles`` gives
+    Returns (id, name, circle, person), (src, dst): edges between circles that share a person, and (id, circle). ``circles`` gives
     keys (id, key) that put papers into one circle besides shared full names, for instance their venue. Initials are resolved
     inside a circle only, where they fit exactly one person; a paper alone in its circle looks among all. A given name
-    one letter off another counts as a typing error only where it is borne by ``typed_ratio`` times fewer families.
+    one letter off another counts as a typing error only where it is none of the usual ones or is borne by
+    ``typed_ratio`` times fewer families.
     """
     base = mentions.select("id", "name").filter("name is not null").distinct()
     lexicon = given_lexicon(base, "name")
@@ -213,9 +214,8 @@ def people(mentions: DataFrame, circles: DataFrame | None, typed_ratio: int = 10
     keys = rows.filter("full is not null").select("id", F.xxhash64(F.lit("n"), "full").alias("key"))
     if circles is not None:
         keys = keys.union(circles.filter("key is not null").select("id", F.xxhash64(F.lit("v"), "key").alias("key")))
-    keys = keys.union(rows.select("id", F.xxhash64(F.lit("p"), "id").alias("key"))).distinct() if circles is None else keys.union(
-        rows.select("id").union(circles.select("id")).distinct().select("id", F.xxhash64(F.lit("p"), "id").alias("key"))
-    ).distinct()
+    ids = rows.select("id") if circles is None else rows.select("id").union(circles.select("id"))
+    keys = keys.union(ids.distinct().select("id", F.xxhash64(F.lit("p"), "id").alias("key"))).distinct()
     anchor = keys.groupBy("id").agg(F.min("key").alias("low"))
     placed = components(keys.join(anchor, "id").select(F.col("low").alias("src"), F.col("key").alias("dst")))
     home = cut_lineage(anchor.join(placed, anchor.low == placed.node).select("id", F.col("component").alias("circle")))
@@ -229,7 +229,9 @@ def people(mentions: DataFrame, circles: DataFrame | None, typed_ratio: int = 10
     bearers = F.create_map(*[F.lit(v) for kv in lexicon.items() for v in kv]) if lexicon else F.create_map().cast("map<string,int>")
     pairs = close.join(one, "a").join(two, "b")
     borne = lambda c: F.coalesce(F.try_element_at(bearers, F.col(c)), F.lit(1))
-    typed = (F.col("a_g") == F.col("b_g")) | ((F.col("a_f") == F.col("b_f")) & (F.greatest(borne("a_g"), borne("b_g")) >= typed_ratio * F.least(borne("a_g"), borne("b_g"))))
+    usual = lambda c: F.try_element_at(bearers, F.col(c)).isNotNull()
+    slip = (usual("a_g") != usual("b_g")) | (F.greatest(borne("a_g"), borne("b_g")) >= typed_ratio * F.least(borne("a_g"), borne("b_g")))
+    typed = (F.col("a_g") == F.col("b_g")) | ((F.col("a_f") == F.col("b_f")) & slip)
     pairs = pairs.filter(((F.col("a_c") == F.col("b_c")) | (F.col("a_p") == 1) | (F.col("b_p") == 1)) & typed)
     links = cut_lineage(pairs.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"), "a_c", "b_c"))
     merged = components(links)

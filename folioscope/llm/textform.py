@@ -129,7 +129,10 @@ class Transducer:
     def apply(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
-        return self.scan.sub(self.replace, text)
+        done = self.scan.sub(self.replace, text)
+        while done != text and self.other.search(done):  # a look-alike word may stand beside one that has just become Latin
+            text, done = done, self.scan.sub(self.replace, done)
+        return done
 
 
 @functools.cache

@@ -17,6 +17,8 @@ from folioscope.llm.graph import components
 from folioscope.llm.names import people
 from folioscope.session import cut_lineage
 
+# What stands where a venue is missing.
+NO_SERIES = ("", "-", "--", "n/a", "na", "none", "null", "nan", "unknown", "tba", "?")
 # Fixed value: what people write around the name of a series.
 _SERIES = r"^(?:proceedings of (?:the )?|proc\.? (?:of )?(?:the )?|in )+"
 _NUMBER = r"[\s,'’-]*(?:\d{2,4}|vol\.? ?\d+|\(\d{4}\))$"
@@ -28,7 +30,8 @@ def series_key(venue: str):
 
     low = F.trim(F.regexp_replace(F.lower(consistent_form(venue)), r"\s+", " "))
     bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(low, r"^(?:\d{4}|\d+(?:st|nd|rd|th)) ", ""), _SERIES, ""), _NUMBER, "")
-    return F.nullif(F.trim(bare), F.lit(""))
+    key = F.trim(bare)
+    return F.when(~key.isin(*NO_SERIES), key)
 
 
 def related_groups(papers: DataFrame, mentions: DataFrame, key: str = "id", venue: str = "venue") -> DataFrame:

@@ -157,6 +157,12 @@ def test_grouped_split(spark, papers):
     assert splits.grouped_split(empty, mentions.limit(0), {"train": 1.0}).count() == 0
 
 
+def test_series_keys(spark):
+    typed = ["kacu", " KACU ", "Proc. KACU", "Proceedings of Kacu", "KACU 2021", "KACU'19", "ｋacu", "n/a", "", None, "2020"]
+    df = spark.createDataFrame([(v,) for v in typed], "venue string")
+    assert [r[0] for r in df.select(splits.series_key("venue")).collect()] == ["kacu"] * 7 + [None] * 4
+
+
 def test_allocation_meets_quotas():
     rng = random.Random(9)
     bundles = [(s, tuple(rng.randint(0, s) for _ in range(3)), rng.randint(1, 40)) for s in (1, 2, 3, 5, 8, 40)]

@@ -1,12 +1,15 @@
-"""Titles as typed: content words in one form, shared n-gram search, and the test whether two titles name one work."""
+"""Titles as typed: content words in one form, search by shared keys, and the test whether two titles name one work."""
 
 from __future__ import annotations
 
+import functools
+import hashlib
 import html
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, Window
@@ -28,6 +31,7 @@ _VARIANT = regex.compile(
     regex.I,
 )
 _CUT = regex.compile(r"\s*(?:\.\s*){3,}\s*$|\s*…\s*$")
+_MASK = (1 << 64) - 1
 _TOKEN = regex.compile(r"[^\W_]+")
 
 SHAPE = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("variant", T.StringType()), T.StructField("cut", T.BooleanType())])
@@ -93,6 +97,13 @@ def usual_words(titles: DataFrame, column: str, share: float = 1 / 5000, least:
     return frozenset(r["w"] for r in usual.toLocalIterator())
 
 
+def usual_tokens(df: DataFrame, column: str, share: float = 1 / 5000, least: int = 5) -> frozenset[str]:
+    """The usual words of titles given as content words, so with accents off: bounded like ``usual_words``."""
+    rows = df.count()
+    words = df.select(F.explode(F.array_distinct(column)).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    return frozenset(r["w"] for r in words.filter(F.col("n") >= max(least, rows * share)).toLocalIterator())
+
+
 def shaped(df: DataFrame, column: str, usual: frozenset[str]) -> DataFrame:
     """``df`` with the columns tokens, variant and cut of its title. A null title has no tokens."""
 
@@ -114,25 +125,65 @@ def with_grams(df: DataFrame, usual: frozenset[str], size: int = 5) -> DataFrame
     return df.withColumn("grams", F.when(n > 0, F.array_distinct(F.concat(runs, rare))).otherwise(F.array().cast("array<bigint>")))
 
 
-def gram_candidates(left: DataFrame, right: DataFrame, key: str, other: str, share: float = 0.28) -> DataFrame:
-    """(key, other, shared): pairs of which one side holds at least ``share`` of the grams of the other.
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
+
+
+def title_keys(tokens: list[str], usual: frozenset[str], side: int, hashed=_word_hash) -> set[int]:
+    """Keys of which two titles share one if they name one work in spite of swapped words and typing errors.
 
-    Each side is probed by the rarest grams that such a pair cannot do without (|g| - ceil(share * |g|) + 1 of them)
-    against all grams of the other side, in both directions, so frequent grams are joined only where a record has no
-    rarer ones. Pairs that share less are dropped by their count, before anything else is joined to them.
+    A set of words is the sum of their hashes, so order does not count. Keys are the words of the title, all, less one,
+    and less two (over ten words: each half by hash, whole or less one); each unusual word, and that word less one
+    letter; and the first words, to seven, whole or less one, that a cut title (the tag of one side) shares with the
+    longer one (the tag of the other).
     """
-    a = left.select(F.col(key).alias("k"), F.size("grams").alias("n"), F.explode("grams").alias("gram"))
-    b = right.select(F.col(other).alias("o"), F.size("grams").alias("m"), F.explode("grams").alias("gram"))
-    counts = a.select("gram").union(b.select("gram")).groupBy("gram").agg(F.count("*").alias("df"))
-    a, b = a.join(counts, "gram"), b.join(counts, "gram")
-    need = lambda c: F.col(c) - F.ceil(F.col(c) * share) + 1
-    a = a.withColumn("probe", F.row_number().over(Window.partitionBy("k").orderBy("df", "gram")) <= need("n"))
-    b = b.withColumn("probe", F.row_number().over(Window.partitionBy("o").orderBy("df", "gram")) <= need("m"))
-    pairs = a.select("k", "n", "gram", F.col("probe").alias("p")).join(b.select("o", "m", "gram", F.col("probe").alias("q")), "gram").filter("p or q")
-    counted = pairs.groupBy("k", "o").agg(F.count("*").alias("shared"), F.least(F.first("n"), F.first("m")).alias("least"))
-    return counted.filter(F.col("shared") >= share * F.col("least")).select(F.col("k").alias(key), F.col("o").alias(other), "shared")
+    n = len(tokens)
+    if not n:
+        return set()
+    h = [hashed(w) for w in tokens]
+    total, salt = sum(h), [hashed(f"\x1f{k}") for k in range(8)]
+    keys = {total + salt[0]}
+    if n > 2:
+        keys.update(total - x + salt[0] for x in h)
+    if 4 < n <= 10:
+        keys.update(total - h[i] - h[j] + salt[0] for i in range(n) for j in range(i))
+    for bit in (0, 1) if n > 10 else ():
+        half = [x for x in h if x >> 7 & 1 == bit]
+        if len(half) > 4:
+            keys.update(sum(half) - x + salt[1] for x in (0, *half))
+    for word in tokens:
+        if len(word) > 3 and word not in usual and not word.isdigit():
+            keys.update(hashed(w) + salt[2] for w in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
+    heads = lambda j: [sum(h[:j]), *(sum(h[:j]) - x + j for x in (h[:j] if j > 2 else ()))]
+    as_short, as_long = salt[3 + side], salt[4 - side]
+    if n > 2:
+        for j in (n - 1, n - 2) if n > 3 and len(tokens[-1]) < 4 else (n - 1,):
+            keys.update(x + as_short for x in heads(min(j, 7)))
+        for j in range(2, min(n, 8)):
+            keys.update(x + as_long for x in heads(j))
+    return keys
+
+
+def with_keys(df: DataFrame, usual: frozenset[str], side: int) -> DataFrame:
+    """``df`` with keys: the keys of its tokens; the two tables that are compared are side 0 and side 1."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        hashed = functools.lru_cache(200_000)(_word_hash)
+        for batch in batches:
+            yield pd.Series([np.fromiter((k & _MASK for k in title_keys(list(x), usual, side, hashed)), "uint64").view("int64") for x in batch], dtype=object)
+
+    return df.withColumn("keys", keys("tokens"))
+
+
+def key_candidates(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
+    """(key, other): the pairs that share at least one of their keys, each once; nothing is dropped by a count."""
+    a = left.select(F.col(key), F.explode("keys").alias("__k"))
+    b = right.select(F.col(other), F.explode("keys").alias("__k"))
+    return a.join(b, "__k").select(key, other).distinct()
 
 
+@functools.lru_cache(1 << 18)
 def _misspelt(word: str, mate: str) -> bool:
     """Whether two words differ by a few typing errors; what cannot be is told by lengths and letters."""
     least = min(len(word), len(mate))
@@ -148,14 +199,13 @@ def likeness(a: list[str], b: list[str]) -> tuple[float, str]:
     """How much two titles say the same, and how they relate: same, prefix, or other."""
     rest_a, rest_b = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
     same = len(a) - len(rest_a)
-    if same >= 0.5 * min(len(a), len(b)):
-        for word in list(rest_a):
-            for mate in rest_b:
-                if _misspelt(word, mate):
-                    rest_a.remove(word)
-                    rest_b.remove(mate)
-                    same += 1
-                    break
+    for word in list(rest_a):
+        for mate in rest_b:
+            if _misspelt(word, mate):
+                rest_a.remove(word)
+                rest_b.remove(mate)
+                same += 1
+                break
     total = max(len(a) + len(b) - same, 1)
     score = same / total
     if not rest_a and not rest_b:
@@ -182,9 +232,11 @@ def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 
 
 def judged(pairs: DataFrame, a: str, b: str, least: float = 0.6) -> DataFrame:
-    """The pairs that share ``least`` of the words of the shorter title, with their likeness in ``j``."""
-    near = pairs.filter(F.size(F.array_intersect(a, b)) >= least * F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b))))
-    return near.withColumn("j", judge(F.array_join(a, " "), F.array_join(b, " ")))
+    """The pairs that share ``least`` of the words of the shorter title, misspelt words counted, with their likeness in ``j``."""
+    near = pairs.withColumn("j", judge(F.array_join(a, " "), F.array_join(b, " ")))
+    exact = F.size(F.array_intersect(a, b)) >= least * F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))
+    same = F.col("j.score") * (F.size(a) + F.size(b)) / (1 + F.col("j.score"))  # the score is the shared words over all words
+    return near.filter(exact | (same >= least * F.least(F.size(a), F.size(b)) - 1e-9))
 
 
 def doi_parts(doi: str):

@@ -208,6 +208,20 @@ def test_cross_split_overlaps(spark):
     assert overlap.cross_split_overlaps(df.limit(0), train).count() == 0 and overlap.cross_split_overlaps(df, train.limit(0)).count() == 0
 
 
+def test_swapped_and_misspelt_titles_are_candidates(spark):
+    usual = frozenset("modular abduction hospital fault isolation epistemic rule bases lazy solving weighted programs".split())
+    pairs = [
+        ("modular abduction for hospital fault isolation with bases", "modular abduction for fault hospital isolation with bases"), ("lazy solving of zuvarik", "lazy solving of zuvrik"), ("lazy solving of weighted programs", "lazy slvinngg of weighted prorgamms"),
+        ("lazy solving of weighted programs for rule bases", "lazy solving of weihgted pro..."), ("modular abduction for hospital isolation fault epistemic rule bases", "fault modular abdduccion for hospital isolation epistemic rule bases"),
+    ]
+    for a, b in pairs:
+        x, y = titles.shape_title(a)[0], titles.shape_title(b)[0]
+        assert titles.title_keys(x, usual, 0) & titles.title_keys(y, usual, 1), (a, b)
+        assert titles.title_keys(y, usual, 0) & titles.title_keys(x, usual, 1), (b, a)
+    df = spark.createDataFrame([("lazy solving weighted programs".split(), "lazy slvinng weihgted prorgamms".split())], "a array<string>, b array<string>")
+    assert titles.judged(df, "a", "b").first().j.relation == "same"
+
+
 def test_linkage(spark):
     train = spark.createDataFrame(TRAIN, PAPER)
     rows = [("W1", "Lazy solving of weighted hex programs for kitchen planning", 2021, None), ("W2", "Lazy solving of weighted hex programs for kitchen planning: A Rebuttal", 2022, None), ("W3", "Exact counting of metric logic programs in tram routing: Part II", 2019, None), ("W4", "Preface of the Chairs", 2018, "10.5555/S3.2018.3"), ("W5", None, None, None), ("W6", "Exact counting of metric logic programs...", 2019, None)]

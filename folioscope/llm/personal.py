@@ -118,10 +118,11 @@ class Detector:
             known = self.memo[word] = fold(word) in self.given
         return known
 
-    def find(self, text: str | None) -> list[tuple[str, str, int, int]]:
+    def find(self, text: str | None, signs: bool = True) -> list[tuple[str, str, int, int]]:
         """(kind, value, start, end) of each entity, in order; earlier kinds win where spans overlap.
 
-        Cheap signs say where a pattern can match at all; the patterns then run there and nowhere else.
+        Cheap signs say where a pattern can match at all; the patterns then run there and nowhere else. Without
+        ``signs`` they run everywhere, with the same result.
         """
         if not text:
             return []
@@ -132,45 +133,45 @@ class Detector:
                 taken.append((kind, start, end))
 
         low = text.lower()
-        signs = ("@" in text or "＠" in text, any(x in low for x in _AT_SIGNS), " dot " in low)
-        for on, pattern in zip(signs, self.mails):
-            if on:
+        mails = ("@" in text or "＠" in text, any(x in low for x in _AT_SIGNS), _DOT_SIGN.search(low))
+        for on, pattern in zip(mails, self.mails):
+            if on or not signs:
                 for m in pattern.finditer(text):
                     add("email", m.start(), m.end())
-        spots = _commas(low) if len(low) == len(text) else list(range(0, len(text), 100))
-        for lo, hi in _windows(spots, 120, 90, len(text)):
+        whole = [(0, len(text))]
+        spots = [(at, at) for at in _commas(low)] if signs and len(low) == len(text) else whole
+        for lo, hi in _windows(spots, 240, 160, len(text)):
             for pattern in self.streets:
                 for m in pattern.finditer(text, lo, hi):
                     end = m.end() if m.groupdict().get("code") else m.start("tail") + self.town(m.group("tail"))
                     add("address", m.start(), end)
-        if any(x in low for x in _ID_SIGNS):
+        if not signs or any(x in low for x in _ID_SIGNS):
             for pattern in self.ids:
                 for m in pattern.finditer(text):
                     if sum(c.isdigit() for c in m.group("value")) >= 5:
                         add("id_number", m.start("value"), m.end("value"))
-        runs = [m.start() for m in _DIGITS.finditer(text)]
+        runs = [m.span() for m in _DIGITS.finditer(text)] if signs else whole
         for lo, hi in _windows(runs, 6, 40, len(text)):
             for pattern in self.phones:
                 for m in pattern.finditer(text, lo, hi):
                     if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                         add("phone", m.start(), m.end())
-        known = {w for w in set(_WORDS.findall(text)) if self.usual(w)}
-        hits = [m for m in _WORDS.finditer(text) if m.group() in known] if known else []
-        initials = [m.start() for m in _INITIAL.finditer(text) if text[m.start()].isupper()]
-        for h in hits:
-            if (m := self.full.match(text, h.start())) and self.usual(m.group("given")) and self.family(m.group("family"), False) and not self.usual(m.group("family")):
+        hits = [m.start() for m in _WORDS.finditer(text, overlapped=True) if self.usual(m.group())] if signs else range(len(text))
+        initials = [m.start() for m in _INITIAL.finditer(text)] if signs else range(len(text))
+        for at in hits:
+            if (m := self.full.match(text, at)) and self.usual(m.group("given")) and self.family(m.group("family"), False) and not self.usual(m.group("family")):
                 add("name", m.start(), m.end())
-        for at in sorted([h.start() for h in hits] + initials):
-            comma = text.rfind(",", max(0, at - 3), at)
-            if comma < 0:
+        for c in _TURN.finditer(text):
+            comma, given = c.start(), c.group("given")
+            if signs and given and not any(self.usual("-".join(given.split("-")[:n])) for n in range(1, given.count("-") + 2)) and not c.group("init"):
                 continue
-            for m in self.turned.finditer(text, max(0, comma - 60), min(len(text), at + 60), overlapped=True):
+            for m in self.turned.finditer(text, max(0, comma - 60), min(len(text), comma + 62), overlapped=True):
                 start = m.start("part") if m.group("part") else m.start("family")
                 if m.end("family") == comma and self.family(m.group("family"), True) and not self.usual(m.group("family")) and (m.group("init") or self.usual(m.group("given"))):
                     add("name", start, m.end())
                     break
-        for h in hits:
-            if h.group()[0].islower() and (m := self.small.match(text, h.start())) and self.usual(m.group("given")) and self.family(m.group("family"), True):
+        for at in hits:
+            if text[at].islower() and (m := self.small.match(text, at)) and self.usual(m.group("given")) and self.family(m.group("family"), True):
                 add("name", m.start(), m.end())
         for at in initials:
             if (m := self.short.match(text, at)) and self.family(m.group("family"), True):
@@ -181,30 +182,30 @@ class Detector:
 # Signs of a pattern, cheap to look for.
 _AT_SIGNS = tuple(o + a for o in "[({" for a in ("at", "@", "arroba", "ät"))
 _STREET_ENDS = ("street", "road", "lane", "terrace", "avenue", "court", "drive", "way", "square", "place", "close", "row", "crescent", "garden", "gardens")
-_ID_SIGNS = ("ssn", "social", "passport", "passeport", "pasaporte", "card", "carte", "carnet", "national", "tax", "licence", "license", "personal", "steuer", "ausweis", "reisepass", "versicherung", "führerschein", "permis", "numéro", "número", "dni", "nie ", "nif")
+_ID_SIGNS = ("ssn", "social", "passport", "passeport", "pasaporte", "card", "carte", "carnet", "national", "tax", "licence", "license", "personal", "steuer", "ausweis", "reisepass", "versicherung", "führerschein", "permis", "numéro", "número", "dni", "nie", "nif")
 _DIGITS = re.compile(r"[+(]?\d[\d .()/+-]{6,}\d")
-_WORDS = re.compile(r"[^\W\d_]+")
-_UPPER = "".join(chr(c) for c in range(65, 0x530) if chr(c).isupper())
-_INITIAL = re.compile(rf"[{_UPPER}]\.(?<![\w.]..)(?=[\s)|]|$|[^\W\d_]\.)")
+_DOT_SIGN = re.compile(r"\sdot\s")
+_WORDS = regex.compile(r"(?<![\p{L}\d.@_'’-])\p{L}[\p{L}\p{M}'’-]*")
+_INITIAL = regex.compile(r"\p{Lu}\.")
+_TURN = regex.compile(rf",\s(?:(?P<init>\p{{Lu}}\.)|(?P<given>{_CAP}))")
 
 
 def _commas(low: str) -> list[int]:
     """Commas after a street or a number, or before a postal code."""
-    out, at = [], low.find(", ")
+    out, at = [], low.find(",")
     while at >= 0:
         last = low[at - 1 : at]
-        if last.isdigit() or (low[at - 2 : at - 1].isdigit() and last.isalpha()) or low[at + 2 : at + 7].isdigit() or low.endswith(_STREET_ENDS, max(0, at - 12), at):
+        if low[at + 1 : at + 2].isspace() and (last.isdigit() or (low[at - 2 : at - 1].isdigit() and last.isalpha()) or low[at + 2 : at + 7].isdigit() or low.endswith(_STREET_ENDS, max(0, at - 12), at)):
             out.append(at)
-        at = low.find(", ", at + 2)
+        at = low.find(",", at + 1)
     return out
 
 
-
-def _windows(spots: list[int], before: int, after: int, size: int) -> Iterator[tuple[int, int]]:
-    """Stretches of text around the spots, joined where they overlap."""
+def _windows(spots: list[tuple[int, int]], before: int, after: int, size: int) -> Iterator[tuple[int, int]]:
+    """Stretches of text around the spots (start, end), joined where they overlap."""
     lo = hi = -1
-    for spot in spots:
-        a, b = max(0, spot - before), min(size, spot + after)
+    for start, end in spots:
+        a, b = max(0, start - before), min(size, end + after)
         if a <= hi:
             hi = max(hi, b)
         else:

@@ -216,17 +216,30 @@ def _windows(spots: list[tuple[int, int]], before: int, after: int, size: int) -
         yield lo, hi
 
 
-def word_lists(texts: DataFrame, text: str) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
-    """Towns, words common in lower case, and words frequent at all, counted over all texts.
+# Mail addresses, plain and disguised, and given names or initials beside a family name, in the syntax of the JVM.
+_MASKED = r"(?i)[\p{L}\d._+-]+(?:[@＠]|\s?[\[({](?:at|@|arroba|ät)[\])}]\s?|\sat\s(?=\S+\sdot\s))[\p{L}\d-]+(?:(?:\.|\s?[\[({](?:dot|punkt|point|punto)[\])}]\s?|\sdot\s)[\p{L}\d-]+)*"
+_BESIDE = r"(?<![\p{L}'-])(\p{Lu}[\p{L}']+|\p{Lu}\.)\s(?:\p{Lu}\.\s?)*(?:(?:de la|van der|von der|van|von|de|di|du|del|der)\s)*(?=(\p{Lu}[\p{L}']+))"
+_TURNED = r"(?<![\p{L}'-])(\p{Lu}[\p{L}']+),\s(\p{Lu}[\p{L}']+|\p{Lu}\.)"
 
-    Kept are words of at least a fixed share of the texts, so their number is bounded by words per text over share.
+
+def word_lists(texts: DataFrame, text: str, given: frozenset[str] = frozenset()) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
+    """Towns, words common in lower case, and words frequent at all, counted over distinct texts without their mail addresses.
+
+    A word that stands after an initial, or beside one of the ``given`` names, in at least half of the texts that have
+    it with a capital is a family name, and is neither common nor frequent. Kept are words of at least a fixed share of the texts, so their number is bounded by words per text over share.
     """
+    texts = texts.select(text).distinct()
     rows = texts.count()
-    spaced = F.regexp_replace(F.col(text), "’", "'")
+    spaced = F.regexp_replace(F.regexp_replace(F.col(text), _MASKED, " "), "’", "'")
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"[\p{L}][\p{L}']*"), F.lit(0)))).alias("w")).filter(F.length("w") > 1)
     counts = words.groupBy("w").agg(F.count("*").alias("n"))
     by = counts.groupBy(F.lower("w").alias("low")).agg(F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n"))
     kept = by.filter((F.col("small") >= max(5, rows / 5000)) | (F.col("n") >= max(20, rows / 200)))
+    first, last = F.regexp_extract_all(spaced, F.lit(_BESIDE), F.lit(1)), F.regexp_extract_all(spaced, F.lit(_BESIDE), F.lit(2))
+    turned, mate = F.regexp_extract_all(spaced, F.lit(_TURNED), F.lit(2)), F.regexp_extract_all(spaced, F.lit(_TURNED), F.lit(1))
+    beside = F.transform(F.filter(F.concat(F.arrays_zip(first.alias("g"), last.alias("w")), F.arrays_zip(turned.alias("g"), mate.alias("w"))), lambda p: p.g.endswith(".") | F.lower(p.g).isin(*sorted(given))), lambda p: F.lower(p.w))
+    named = texts.select(F.explode(F.array_distinct(beside)).alias("low")).groupBy("low").agg(F.count("*").alias("named"))
+    kept = kept.join(named, "low", "left").filter(F.coalesce("named", F.lit(0)) * 2 < F.greatest(F.lit(3), F.col("n") - F.col("small")))
     common, frequent = set(), set()
     for r in kept.toLocalIterator():
         (common if r["small"] >= max(5, rows / 5000) else frequent).add(r["low"])
@@ -245,7 +258,7 @@ def find_personal(documents: DataFrame, given: frozenset[str], key: str = "doc_i
     whole; repeated rows give repeated results; other columns are dropped; an empty table gives an empty result.
     """
     base = documents.select(F.col(key), F.col(text).cast("string").alias(text))
-    towns, common, frequent = word_lists(base.filter(F.col(text).isNotNull()), text)
+    towns, common, frequent = word_lists(base.filter(F.col(text).isNotNull()), text, given | {fold(n) for n in NICKNAMES})
 
     @F.pandas_udf(ENTITY)
     def entities(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -294,6 +294,14 @@ def test_personal_information(spark):
     assert personal.find_personal(df.limit(0), frozenset()).count() == 0
 
 
+def test_copies_and_words_that_are_names(spark):
+    one = "Write to ana.kovacs@inst.example, said Ana Kovacs."
+    rows = [(k, one) for k in range(30)] + [(100 + k, f"a brown fox number {k} and the road; see Ana Brown or A. Talo or Talo, Ana") for k in range(40)] + [(200 + k, f"The road {k}") for k in range(40)]
+    df = spark.createDataFrame(rows + [(300, "A. Kovacs and B. Talo. Ana The")], "doc_id long, text string")
+    got = {r.doc_id: {e.value for e in r.entities if e.kind == "name"} for r in personal.find_personal(df, frozenset({"ana"})).collect()}
+    assert got[0] == {"Ana Kovacs"} and got[100] == {"Ana Brown", "A. Talo", "Talo, Ana"} and got[300] == {"A. Kovacs", "B. Talo"}
+
+
 def test_signs_lose_nothing():
     d = personal.Detector(frozenset({"ana", "anne-marie"}), frozenset({"town"}), frozenset({"and"}), frozenset())
     want = {"Skova, J.; Rimut, K.; Talo, M.": 3, "Skova, J., and Rimut, K., wrote": 2, "Hauptstrasse 5,\n12345 Town": 1, "NIE: X1234567L": 1, "Anne-Marie Talo": 1, "ana at inst\ndot net": 1}

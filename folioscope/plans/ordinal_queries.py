@@ -143,11 +143,11 @@ def _(s, d):
 @query("x1_x3_title_match")
 def _(s, d):
     """Best train title of each test paper among those that share a word n-gram, by edit similarity with a year bonus."""
-    grams = lambda c: F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 3), " "))))  # noqa: E731, ARG005
-    side = lambda n: table(s, d, n, "id", "title", "year").withColumn("w", F.split(t.normalize_words("title"), " "))
-    a = side("public_test").select("id", F.array_join("w", " ").alias("q"), F.col("year").alias("qy"), grams("w").alias("g")).dropDuplicates(["id", "g"])
-    b = side("train").select(F.col("id").alias("train_id"), F.array_join("w", " ").alias("c"), F.col("year").alias("cy"), grams("w").alias("g")).dropDuplicates(["train_id", "g"])
-    near = a.join(b, "g").groupBy("id", "train_id").agg(F.count("*").alias("n"), F.first("q").alias("q"), F.first("c").alias("c"), F.first("qy").alias("qy"), F.first("cy").alias("cy")).filter("n >= 3")
+    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 3), " "))))).alias("g")
+    side = lambda n: table(s, d, n, "id", "title", "year").withColumn("w", F.split(t.normalize_words("title"), " ")).filter(F.array_join("w", " ") != "")
+    a, b = side("public_test"), side("train").withColumnRenamed("id", "train_id")
+    near = a.select("id", grams).join(b.select("train_id", grams), "g").select("id", "train_id").distinct()
+    near = near.join(a.select("id", F.array_join("w", " ").alias("q"), F.col("year").alias("qy")), "id").join(b.select("train_id", F.array_join("w", " ").alias("c"), F.col("year").alias("cy")), "train_id")
     sim = 1 - F.levenshtein("q", "c") / F.greatest(F.length("q"), F.length("c"))
     bonus = F.when(F.abs(F.col("qy") - F.col("cy")) <= 1, 0.05).when(F.abs(F.col("qy") - F.col("cy")) <= 3, 0.02).otherwise(0.0)
     best = near.withColumns({"sim": sim, "score": sim + bonus}).groupBy("id").agg(F.max_by(F.struct("train_id", "sim"), F.struct("score", -F.col("train_id"))).alias("b"))

@@ -134,3 +134,15 @@ def test_stream_keeps_what_the_batch_keeps(spark, tmp_path):
     last = max((tmp_path / "out").iterdir(), key=lambda p: int(p.name[2:]))
     want = sorted(map(tuple, ranking.keep_last(rows, ["k"], ["seq"]).collect()))
     assert sorted(map(tuple, spark.read.parquet(str(last)).collect())) == want
+
+
+def test_title_match_needs_one_shared_run(spark, tmp_path):
+    from folioscope.plans.ordinal_queries import QUERIES
+
+    schema = "id long, title string, year int"
+    train = [(1, "Datalog", 2020), (2, "Lazy hex solving", 2020), (3, "exact counting of metric aggregates in tramways", 2020), (4, "", 2020), (5, None, 2020)]
+    spark.createDataFrame(train, schema).write.parquet(f"{tmp_path}/train.parquet")
+    tests = [(1, "datalog", 2020), (2, "lazy hex solving", 2020), (3, "exact counting of metric aggregates in tramways".replace("metric", "metrics"), 2020), (4, "", 2020), (5, None, 2020)]
+    spark.createDataFrame(tests, schema).write.parquet(f"{tmp_path}/public_test.parquet")
+    got = {r.id: (r.train_id, r.found) for r in QUERIES["x1_x3_title_match"](spark, str(tmp_path)).collect()}
+    assert got == {1: (1, True), 2: (2, True), 3: (3, True)}

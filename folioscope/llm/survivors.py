@@ -27,6 +27,8 @@ _FAILED = regex.compile(r"error \d+|https? error|\[abstract removed|\[?(?:abstra
 _SENTENCE = regex.compile(r"(?<=[.?!])\s+")
 _LONG = regex.compile(r"[a-z]{4,}")
 DECAY_DAYS = 180.0
+TRUSTED = 0.8  # a match score from which a record is of the paper it names
+ABOUT = 0.4  # share of the title's words that shows the same where the score is missing
 
 
 def undressed(text: str) -> str:
@@ -56,14 +58,15 @@ def usable_key(value: str, title: str | None, score: float | None) -> str | None
     """The normalised value if it is a real text, complete and of the paper that the title names; else none."""
     plain = undressed(value)
     key = plain.lower()
-    if len(key) < 20 or key.rstrip(" .:…") in PLACEHOLDERS or _FAILED.match(key):
+    if key.rstrip(" .:…") in PLACEHOLDERS or _FAILED.match(key) or " " not in key:
         return None
     if key[-1] not in ".?!。)\"'”’" or key.endswith(("...", ". . .", "…", ". ..")):
         return None
+    stem = key.rstrip(".?!。 ")
     if score is None or score != score:
         share = about(title or "", plain)
-        return key if share is not None and share >= 0.4 else None
-    return key if score >= 0.8 else None
+        return stem if share is not None and share >= ABOUT else None
+    return stem if score >= TRUSTED else None
 
 
 @F.pandas_udf(T.StringType())
@@ -95,8 +98,8 @@ def survivors(records: DataFrame) -> DataFrame:
     order = F.struct(F.col("fetched_at").alias("at"), (-F.col("rec_id")).alias("first"))
     rows = rows.select(*group, "rec_id", "value", "key", F.coalesce(vote, F.lit(0.0)).alias("vote"), order.alias("order"))
     values = rows.groupBy(*group, "key").agg(F.sum("vote").alias("votes"), F.max_by("rec_id", "order").alias("rec_id"), F.max_by("value", "order").alias("value"), F.max("order").alias("order"))
-    following = F.lead("key").over(Window.partitionBy(*group).orderBy("key"))
-    whole = values.withColumn("next", following).filter(F.col("next").isNull() | ~F.startswith(F.col("next"), F.rtrim("key", F.lit(".?!"))))
+    following = F.lead("key").over(Window.partitionBy(*group).orderBy("key"))  # keys have no closing stop, so what goes on stands next
+    whole = values.withColumn("next", following).filter(F.col("next").isNull() | ~F.startswith(F.col("next"), F.col("key")))
     best = F.struct("votes", "order")
     won = whole.groupBy(*group).agg(F.max_by("rec_id", best).alias("rec_id"), F.max_by("value", best).alias("value"), F.max("votes").alias("votes"))
     return won.join(size, group)

@@ -73,14 +73,14 @@ class Transducer:
 
     def __init__(self) -> None:
         self.table = mapping()
+        self.single = {ord(s): t for s, t in self.table.items() if len(s) == 1}
         lone = "".join(regex.escape(s) for s in self.table if len(s) == 1)
-        self.lone = regex.compile(f"[{lone}]")
-        self.scan = regex.compile(rf"(?P<word>{_WORD})|[{lone}]\p{{M}}*|\X\p{{M}}+" if lone else _WORD)
+        self.scan = regex.compile(rf"(?P<word>{_WORD})|[{lone}]\p{{M}}*|\X\p{{M}}+")
         self.cluster = regex.compile(r"\X")
         self.other = regex.compile(r"[\p{Cyrillic}\p{Greek}]")
         self.latin = regex.compile(r"\p{Latin}")
-        self.left = regex.compile(rf"({_WORD})[^\p{{L}},;|/&\n\t]*$")
-        self.right = regex.compile(rf"[^\p{{L}},;|/&\n\t]*({_WORD})")
+        self.mark = regex.compile(r"\p{M}")
+        self.delimiter = regex.compile(r"[,;|/&\n\t]")
 
     def clusters(self, text: str) -> str:
         """Every cluster by its longest prefix in the table; what is left of it follows in the same way."""
@@ -95,44 +95,63 @@ class Transducer:
                     size = 1
                     out.append(unit[0])
                 unit = unit[size:]
-        done = "".join(out)
-        return unicodedata.normalize("NFC", done) if not done.isascii() and regex.search(r"\p{M}", done) else done
-
-    def own(self, word: str) -> bool:
-        """Whether the word stands in a script of its own: letters, none Latin, not all of them look-alikes."""
-        letters = [c for c in word if c.isalpha()]
-        return bool(letters) and not self.latin.search(word) and not all(c in LOOKALIKES for c in letters)
-
-    def replace(self, match: regex.Match) -> str:
-        unit = match.group()
-        if unit.isascii():
-            return unit
-        unit = self.clusters(unit)
-        if match.lastgroup != "word" or not self.other.search(unit):
-            return unit
+        return self.composed("".join(out))
+
+    def composed(self, text: str) -> str:
+        """The text with accents joined to their letters."""
+        return unicodedata.normalize("NFC", text) if not text.isascii() and self.mark.search(text) else text
+
+    def latinised(self, unit: str) -> str:
+        """The unit with look-alike letters as Latin ones; an accent that a look-alike could not take joins the Latin letter."""
+        return self.composed("".join(LOOKALIKES.get(c, c) for c in unit))
+
+    def kind(self, unit: str) -> str:
+        """What a word is: latin, own (a script of its own), symbol, open (all look-alikes), or none of these (no letters)."""
         if self.latin.search(unit):
-            return "".join(LOOKALIKES.get(c, c) for c in unit)
-        if self.own(unit):
-            return unit
+            return "latin"
         letters = [c for c in unit if c.isalpha()]
-        if len(letters) == 1 and letters[0].islower():  # a symbol
-            return unit
-        text, near = match.string, []
-        if found := self.left.search(text, max(0, match.start() - 64), match.start()):
-            near.append(self.clusters(found.group(1)))
-        if found := self.right.match(text, match.end(), match.end() + 64):
-            near.append(self.clusters(found.group(1)))
-        if any(self.latin.search(w) for w in near) and not any(self.own(w) for w in near):
-            return "".join(LOOKALIKES.get(c, c) for c in unit)
-        return unit
+        if not letters:
+            return "none"
+        if not all(c in LOOKALIKES for c in letters):
+            return "own"
+        return "symbol" if len(letters) == 1 and letters[0].islower() else "open"
 
     def apply(self, text: str | None) -> str | None:
         if text is None or text.isascii():
             return text
-        done = self.scan.sub(self.replace, text)
-        while done != text and self.other.search(done):  # a look-alike word may stand beside one that has just become Latin
-            text, done = done, self.scan.sub(self.replace, done)
-        return done
+        if not self.mark.search(text):  # every cluster is one character
+            done = text.translate(self.single)
+            if not self.other.search(done):
+                return done
+        out: list[str] = []
+        words: list[list] = []  # place in out, kind, whether a delimiter stands before it
+        at, cut = 0, True
+        for m in self.scan.finditer(text):
+            between, unit = text[at : m.start()], m.group()
+            at = m.end()
+            new = unit if unit.isascii() else self.clusters(unit)
+            out += [between, new]
+            cut = cut or bool(self.delimiter.search(between))
+            kind = self.kind(new)
+            if kind == "none":
+                cut = cut or bool(self.delimiter.search(new))
+                continue
+            if kind == "latin" and self.other.search(new):
+                out[-1] = self.latinised(new)
+            words.append([len(out) - 1, kind, cut])
+            cut = False
+        out.append(text[at:])
+        # a word of look-alikes is Latin where a word beside it is, and none beside it stands in its own script; what has become Latin counts
+        for turn in (1, -1):
+            for i in range(len(words))[::turn]:
+                place, kind, first = words[i]
+                if kind != "open":
+                    continue
+                left = words[i - 1][1] if i and not first else ""
+                right = words[i + 1][1] if i + 1 < len(words) and not words[i + 1][2] else ""
+                if "own" not in (left, right) and "latin" in (left, right):
+                    out[place], words[i][1] = self.latinised(out[place]), "latin"
+        return "".join(out)
 
 
 @functools.cache

@@ -39,6 +39,17 @@ def test_forms(text, want):
     assert textform.transducer().apply(text) == want
 
 
+def test_look_alikes_take_the_script_of_their_neighbours_in_one_pass():
+    t = textform.transducer()
+    assert t.apply("\u0455\u0301a") == "\u015ba"
+    assert t.apply("\u0410\u0412 . \u041e\u041e! \u0421\u0422 Latin") == "AB . OO! CT Latin"
+    assert t.apply("\u0410\u0412, \u041e\u041e; Latin") == "\u0410\u0412, \u041e\u041e; Latin"
+    assert t.apply("\u0428\u044f \u041e\u041e Latin") == "\u0428\u044f \u041e\u041e Latin"
+    far = "\u00e9" + " . " * 100 + "\u041e\u041e"
+    assert t.apply(far).endswith(" OO")
+    assert t.apply("\u00e9 " + "\u041e\u041e . " * 20_000).count("OO") == 20_000
+
+
 def test_disguised_cells(spark):
     df = spark.createDataFrame([(1, "ｗide", None, 9), (1, "ｗide", None, 9), (2, "", "plain", 9), (3, "\u00e9", "O\u0308 \u200b", 9)], "id long, title string, authors string, field int")
     got = sorted((r.id, r.field) for r in textform.disguised_cells(df, "id", "title", "authors").collect())
@@ -249,6 +260,13 @@ def test_survivors(spark):
     assert survivors.survivors(df.limit(0)).count() == 0
 
 
+def test_a_value_cut_at_a_word_is_no_survivor(spark):
+    start = "We study lazy solving of hex programs for agents"
+    rows = [("train", 1, "abstract", 1, None, f"{start}.", 0.9, False, datetime(2024, 1, 9)), ("train", 1, "abstract", 2, None, f"{start} in large domains with proofs.", 0.9, False, datetime(2024, 1, 1)), ("train", 2, "abstract", 3, None, "A planner for SAT.", 0.99, False, datetime(2024, 1, 1))]
+    df = spark.createDataFrame(rows, "source_split string, id long, field string, rec_id long, title string, value string, score double, failed boolean, fetched_at timestamp")
+    assert {(r.id, r.rec_id) for r in survivors.survivors(df).collect()} == {(1, 2), (2, 3)}
+
+
 # leakage
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioscope.session import cut_lineage
 
 
-def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component): each node that has an edge, with the smallest node it is connected to.
 
     Alternates large-star and small-star steps until the edges no longer change; each step is a partial minimum
@@ -18,7 +18,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst", rounds: int
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
     state = cut_lineage(pairs.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
-    for _ in range(rounds):
+    while True:  # ends: the sum of the edges' ends falls with every step until none can
         both = state.union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").filter(F.col("v") >= F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))

@@ -4,9 +4,9 @@ A typed name is brought to one form and parsed into family, given name and initi
 order, accents, transliteration, suffix or nickname meet by key. Spellings that differ by a typing error meet in a
 radius join: names live in the metric space of the unrestricted Damerau-Levenshtein distance; the pivots are the
 words "aaaa…", "bbbb…" and so on, whose distance to a name is known in closed form (the pivot's length less the
-letter's count), so a cell is a vector of pivot distances. By the triangle inequality a name within the radius of 1
-lies in the same cell or one whose vector differs by one letter taken out; each name is replicated to these boundary
-cells, and inside a cell every pair is held against the true distance.
+letter's count), so a cell is a vector of pivot distances. By the triangle inequality the vectors of two names within
+the radius differ by at most the radius in each way; each name is replicated to the cells that its boundary reaches,
+and inside a cell every pair is held against the true distance.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +42,8 @@ SUFFIXES = frozenset("jr sr ii iii iv phd md dr prof".split())
 LETTERS = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th", "ß": "ss", "æ": "a", "œ": "o", "ı": "i", "’": "'", "ʼ": "'", "‐": "-", "‑": "-"})
 DIGRAPHS = regex.compile(r"(?<=[aou])e")
 
-FORM = T.StructType([T.StructField(c, T.StringType()) for c in ("family", "given", "initial", "middle", "kind")])
+FORM = T.StructType([*(T.StructField(c, T.StringType()) for c in ("family", "given", "initial", "middle", "kind")), T.StructField("borne", T.IntegerType())])
+RARE = 8  # a family name of at most so many given names is rare enough for an initial to name one person anywhere
 
 
 def fold(text: str) -> str:
@@ -140,24 +142,36 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x, y) for x, y in zip(a, b)], dtype="int32")
 
 
-def radius_join(names: DataFrame, column: str) -> DataFrame:
-    """(a, b) with a < b: all pairs of different values of ``column`` at distance 1.
+def cells_of(word: str, radius: int) -> set[int]:
+    """The cell of a word, which is the vector of its letter counts, and the cells that its boundary reaches: up to ``radius`` letters taken out."""
+    letters = "".join(sorted(word))
+    every = level = {letters}
+    for _ in range(radius):
+        level = {w[:i] + w[i + 1 :] for w in level for i in range(len(w)) if not i or w[i] != w[i - 1]}
+        every = every | level
+    return {xxhash.xxh64_intdigest(w) - (1 << 63) for w in every}
 
-    Exact: two such values share a cell of letter counts, or one with a letter taken out. Nulls are dropped, repeats
-    count once. Cells hold words with the same letters, so none is large unless the values themselves are anagrams.
+
+def radius_join(names: DataFrame, column: str, radius: int = 1) -> DataFrame:
+    """(a, b) with a < b: all pairs of different values of ``column`` at a distance of 1 to ``radius``.
+
+    Exact: an edit takes at most one letter from either word and gives it at most one, so two such values share a cell
+    after at most ``radius`` letters are taken out of each. Nulls are dropped, repeats count once. Cells hold words with
+    the same letters, so none is large unless the values themselves are anagrams.
     """
-    word = names.select(F.col(column).alias("word")).filter("word is not null").distinct()
-    letters = F.array_sort(F.split("word", ""))
-    own = F.struct(F.xxhash64(F.array_join(letters, "")).alias("cell"))
-    less = F.transform(
-        F.array_distinct(letters),
-        lambda c: F.struct(F.xxhash64(F.concat(F.array_join(F.filter(letters, lambda x: x < c), ""), F.array_join(F.slice(F.filter(letters, lambda x: x == c), 2, 10000), ""), F.array_join(F.filter(letters, lambda x: x > c), ""))).alias("cell")),
-    )
-    placed = word.select("word", F.explode(F.array_distinct(F.concat(F.array(own), less))).alias("at")).select("word", "at.cell")
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def cells(words: pd.Series) -> pd.Series:
+        return pd.Series([list(cells_of(w, radius)) for w in words], dtype=object)
+
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    word = names.select(F.col(column).alias("word")).filter("word is not null").distinct().repartition(spread, "word")
+    placed = word.select("word", F.explode(cells("word")).alias("cell"))
     left, right = placed.withColumnRenamed("word", "a"), placed.withColumnRenamed("word", "b")
-    near = left.join(right, "cell").filter("a < b").select("a", "b").filter(F.abs(F.length("a") - F.length("b")) <= 1).distinct()
-    near = near.filter(F.levenshtein("a", "b", 2) >= 0)
-    return near.filter(_distance("a", "b") == 1)
+    near = left.join(right, "cell").filter("a < b").select("a", "b").filter(F.abs(F.length("a") - F.length("b")) <= radius).distinct()
+    # a swap counts two letters replaced
+    near = near.filter(F.levenshtein("a", "b", 2 * radius) >= 0)
+    return near.filter((F.levenshtein("a", "b", radius) >= 0) | (_distance("a", "b") <= radius))
 
 
 def given_lexicon(values: DataFrame, column: str, share: float = 1e-4, least: int = 3) -> dict[str, int]:
@@ -182,15 +196,19 @@ def given_lexicon(values: DataFrame, column: str, share: float = 1e-4, least: in
 
 
 def parse_column(lexicon: dict[str, int]):
-    """A column function that parses names with the lexicon."""
+    """A column function that parses names with the lexicon; borne is how many families have the given name, null for none of the usual ones."""
     known = frozenset(lexicon) | frozenset(_full_form())
     near = frozenset(g[:i] + g[i + 1 :] for g in lexicon if len(g) > 3 for i in range(len(g)))
 
     @F.pandas_udf(FORM)
     def parse(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        one = functools.lru_cache(100_000)(lambda x: parse_name(x, known, near))
+        def parsed(x: str) -> tuple:
+            form = parse_name(x, known, near)
+            return (*form, lexicon.get(form[1]))
+
+        one = functools.lru_cache(100_000)(parsed)
         for batch in batches:
-            yield pd.DataFrame([one(x) for x in batch], columns=FORM.names)
+            yield pd.DataFrame([one(x) for x in batch], columns=FORM.names).astype({"borne": "Int32"})
 
     return parse
 
@@ -199,10 +217,14 @@ def people(mentions: DataFrame, circles: DataFrame | None, typed_ratio: int = 10
     """Person of each (id, name) of ``mentions``, and the circles with what joins them.
 
     Returns (id, name, circle, person), (src, dst): edges between circles that share a person, and (id, circle). ``circles`` gives
-    keys (id, key) that put papers into one circle besides shared full names, for instance their venue. Initials are resolved
-    inside a circle only, where they fit exactly one person; a paper alone in its circle looks among all. A given name
-    one letter off another counts as a typing error only where it is none of the usual ones or is borne by
-    ``typed_ratio`` times fewer families.
+    keys (id, key) that put papers into one circle besides shared full names, for instance their venue. Initials are
+    resolved inside a circle where they fit exactly one person. Where they fit none there, they name the one person of
+    the whole table that they fit, if the paper is alone in its circle or the family name is rare (``RARE``) and no middle
+    initial speaks against it; a family name that never stands with a given name is one person per initial. A given name
+    one letter off another counts as a typing error only where one of the two is none of the usual ones or is borne by
+    ``typed_ratio`` times fewer families. Between two circles of several papers each, only errors that leave no other
+    well-formed name are followed: a letter too many, too few or swapped, beside a name of the same spelling. A name
+    of one word has no error that could be told from another name. Rows with a null name are dropped.
     """
     base = mentions.select("id", "name").filter("name is not null").distinct()
     lexicon = given_lexicon(base, "name")
@@ -210,55 +232,77 @@ def people(mentions: DataFrame, circles: DataFrame | None, typed_ratio: int = 10
     rows = base.withColumn("f", parse("name")).select("id", "name", "f.*")
     rows = cut_lineage(rows.withColumn("full", F.when(F.col("kind") != "initials", F.concat_ws(" ", F.nullif("given", F.lit("")), "family"))))
 
-    # circles: papers tied by a key or a full name
-    keys = rows.filter("full is not null").select("id", F.xxhash64(F.lit("n"), "full").alias("key"))
+    # circles: papers tied by a key or a full name; every paper hangs on one key, its series if it has one
+    named = rows.filter("full is not null").select("id", F.xxhash64(F.lit("n"), "full").alias("key"))
+    ids, keys = rows.select("id"), named
+    hub = named.groupBy("id").agg(F.min("key").alias("hub"))
     if circles is not None:
-        keys = keys.union(circles.filter("key is not null").select("id", F.xxhash64(F.lit("v"), "key").alias("key")))
-    ids = rows.select("id") if circles is None else rows.select("id").union(circles.select("id"))
-    keys = keys.union(ids.distinct().select("id", F.xxhash64(F.lit("p"), "id").alias("key"))).distinct()
-    anchor = keys.groupBy("id").agg(F.min("key").alias("low"))
-    placed = components(keys.join(anchor, "id").select(F.col("low").alias("src"), F.col("key").alias("dst")))
-    home = cut_lineage(anchor.join(placed, anchor.low == placed.node).select("id", F.col("component").alias("circle")))
+        tied = circles.filter("key is not null").select("id", F.xxhash64(F.lit("v"), "key").alias("key"))
+        ids, keys = ids.union(circles.select("id")), named.union(tied)
+        hub = hub.join(tied.groupBy("id").agg(F.min("key").alias("series")), "id", "full").select("id", F.coalesce("series", "hub").alias("hub"))
+    hub = cut_lineage(ids.distinct().join(hub, "id", "left").select("id", F.coalesce("hub", F.xxhash64(F.lit("p"), "id")).alias("hub")))
+    placed = components(keys.join(hub, "id").filter("hub != key").select(F.col("hub").alias("src"), F.col("key").alias("dst")))
+    home = cut_lineage(hub.join(placed, hub.hub == placed.node, "left").select("id", F.coalesce("component", "hub").alias("circle")))
     size = home.groupBy("circle").agg(F.count("*").alias("papers"))
     rows = cut_lineage(rows.join(home, "id"))
 
-    # full names: typing errors inside a circle, or from a lone paper to anywhere
-    full = rows.filter("full is not null").groupBy("full", "given", "family").agg(F.min("circle").alias("circle")).join(size, "circle")
-    close = radius_join(full.filter("length(full) > 6 and given != ''"), "full")
-    one, two = (full.select(F.col("full").alias(x), F.col("circle").alias(f"{x}_c"), F.col("given").alias(f"{x}_g"), F.col("family").alias(f"{x}_f"), F.col("papers").alias(f"{x}_p")) for x in "ab")
-    bearers = F.create_map(*[F.lit(v) for kv in lexicon.items() for v in kv]) if lexicon else F.create_map().cast("map<string,int>")
+    # full names: typing errors
+    full = cut_lineage(rows.filter("full is not null").groupBy("full", "given", "family", "borne").agg(F.min("circle").alias("circle")).join(size, "circle"))
+    close = radius_join(full.filter("given != ''"), "full")
+    one, two = (full.select(F.col("full").alias(x), F.col("circle").alias(f"{x}_c"), F.col("given").alias(f"{x}_g"), F.col("family").alias(f"{x}_f"), F.col("borne").alias(f"{x}_n"), F.col("papers").alias(f"{x}_p")) for x in "ab")
     pairs = close.join(one, "a").join(two, "b")
-    borne = lambda c: F.coalesce(F.try_element_at(bearers, F.col(c)), F.lit(1))
-    usual = lambda c: F.try_element_at(bearers, F.col(c)).isNotNull()
-    slip = (usual("a_g") != usual("b_g")) | (F.greatest(borne("a_g"), borne("b_g")) >= typed_ratio * F.least(borne("a_g"), borne("b_g")))
+    borne = lambda c: F.coalesce(F.col(c), F.lit(1))
+    unusual = F.col("a_n").isNull() != F.col("b_n").isNull()
+    slip = unusual | (F.greatest(borne("a_n"), borne("b_n")) >= typed_ratio * F.least(borne("a_n"), borne("b_n")))
     typed = (F.col("a_g") == F.col("b_g")) | ((F.col("a_f") == F.col("b_f")) & slip)
-    pairs = pairs.filter(((F.col("a_c") == F.col("b_c")) | (F.col("a_p") == 1) | (F.col("b_p") == 1)) & typed)
-    links = cut_lineage(pairs.select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"), "a_c", "b_c"))
+    near_by = (F.col("a_c") == F.col("b_c")) | (F.col("a_p") == 1) | (F.col("b_p") == 1)
+    broken = (F.length("a") != F.length("b")) | (F.array_sort(F.split("a", "")) == F.array_sort(F.split("b", "")))
+    afar = broken & ((F.col("a_g") == F.col("b_g")) | ((F.col("a_f") == F.col("b_f")) & unusual))
+    links = cut_lineage(pairs.filter(typed & (near_by | afar)).select(F.xxhash64("a").alias("src"), F.xxhash64("b").alias("dst"), "a_c", "b_c"))
     merged = components(links)
-    person = full.withColumn("node", F.xxhash64("full")).join(merged, "node", "left").select("full", "given", "family", "circle", F.coalesce("component", "node").alias("person"))
+    person = full.withColumn("node", F.xxhash64("full")).join(merged, "node", "left").select("full", F.coalesce("component", "node").alias("person"))
     person = cut_lineage(person)
 
-    # initials: the one person of the circle they fit; with a middle initial, the one that has it
-    at = rows.filter("kind = 'full'").select("circle", "family", "initial", "middle", "full").distinct().join(person.select("full", "person"), "full")
-    fits = at.groupBy("circle", "family", "initial").agg(F.min("person").alias("p"), F.max("person").alias("q"))
-    fits = fits.select("circle", "family", "initial", F.when(F.col("p") == F.col("q"), F.col("p")).alias("person"), F.lit(True).alias("some"))
-    exact = at.filter("middle != ''").groupBy("circle", "family", "initial", "middle").agg(F.min("person").alias("p"), F.max("person").alias("q")).filter("p = q").select("circle", "family", "initial", "middle", F.col("p").alias("by_middle"))
-    every = at.groupBy("family", "initial").agg(F.min("person").alias("p"), F.max("person").alias("q"), F.min("circle").alias("there")).filter("p = q").select("family", "initial", F.col("p").alias("anywhere"), "there")
+    # initials: the one person of the circle they fit, with a middle initial the one that has it; else the one they fit anywhere
+    at = rows.filter("kind = 'full'").select("circle", "family", "given", "initial", "middle", "full").distinct().join(person, "full")
+    only = F.when(F.min("person") == F.max("person"), F.min("person"))
+    fits = at.groupBy("circle", "family", "initial").agg(only.alias("person"), F.lit(True).alias("some"))
+    exact = at.filter("middle != ''").groupBy("circle", "family", "initial", "middle").agg(only.alias("by_middle")).filter("by_middle is not null")
+    middles = F.collect_set(F.nullif("middle", F.lit("")))  # at most one per letter
+    every = at.groupBy("family", "initial").agg(only.alias("anywhere"), F.min("circle").alias("there"), middles.alias("has"))
+    bearers = at.groupBy("family").agg(F.count_distinct("given").alias("bearers"))
     short = rows.filter("kind = 'initials'").select("circle", "family", "initial", "middle").distinct()
-    short = short.join(fits, ["circle", "family", "initial"], "left").join(exact, ["circle", "family", "initial", "middle"], "left").join(every, ["family", "initial"], "left").join(size, "circle")
-    lone = F.col("some").isNull() & (F.col("papers") == 1)
+    solo = short.groupBy("family", "initial").agg(F.min("circle").alias("low"), F.count_distinct(F.nullif("middle", F.lit(""))).alias("middles"))
+    short = short.join(fits, ["circle", "family", "initial"], "left").join(exact, ["circle", "family", "initial", "middle"], "left").join(every, ["family", "initial"], "left")
+    short = short.join(bearers, "family", "left").join(solo, ["family", "initial"], "left").join(size, "circle")
+    agrees = (F.col("middle") == "") | (F.size("has") == 0) | F.array_contains("has", F.col("middle"))
+    far = F.col("some").isNull() & F.col("anywhere").isNotNull() & agrees & ((F.col("papers") == 1) | (F.col("bearers") <= RARE))
+    nameless = F.col("some").isNull() & F.col("bearers").isNull() & (F.col("middles") <= 1)
     alone = F.xxhash64(F.lit("i"), "circle", "family", "initial", F.when(F.col("some"), F.col("middle")))
-    short = short.withColumn("who", F.coalesce("person", "by_middle", F.when(lone, F.col("anywhere")), F.when(F.col("some").isNull(), alone)))
-    short = cut_lineage(short.select("circle", "family", "initial", "middle", F.col("who").alias("person"), F.when(lone, F.col("there")).alias("there")))
+    who = F.coalesce("person", "by_middle", F.when(far, F.col("anywhere")), F.when(nameless, F.xxhash64(F.lit("i"), "family", "initial")), F.when(F.col("some").isNull(), alone))
+    there = F.when(far, F.col("there")).when(nameless & (F.col("low") != F.col("circle")), F.col("low"))
+    short = cut_lineage(short.select("circle", "family", "initial", "middle", who.alias("person"), there.alias("there")))
 
-    fulls = rows.filter("full is not null").join(person.select("full", "person"), "full").select("id", "name", "circle", "person")
+    fulls = rows.filter("full is not null").join(person, "full").select("id", "name", "circle", "person")
     shorts = rows.filter("kind = 'initials'").join(short, ["circle", "family", "initial", "middle"], "left").select("id", "name", "circle", "person")
     joined = links.filter("a_c != b_c").select(F.col("a_c").alias("src"), F.col("b_c").alias("dst")).union(short.filter("there is not null").select(F.col("circle").alias("src"), F.col("there").alias("dst")))
-    return fulls.union(shorts), joined.union(home.select(F.col("circle").alias("src"), F.col("circle").alias("dst")).distinct()), home
+    return fulls.union(shorts), joined, home
 
 
-def variant_pairs(persons: DataFrame) -> DataFrame:
-    """(name_a, name_b), name_a < name_b: different spellings of one person. Rows without a person give no pair."""
-    own = persons.filter("person is not null").select("name", "person").distinct()
-    left, right = own.withColumnRenamed("name", "name_a"), own.withColumnRenamed("name", "name_b")
-    return left.join(right, "person").filter("name_a < name_b").select("name_a", "name_b").distinct()
+def persons_of(persons: DataFrame) -> DataFrame:
+    """(name, person): each spelling with the person it names; a spelling that names several has several rows, one that names none is left out."""
+    return persons.filter("person is not null").select("name", "person").distinct()
+
+
+def variant_pairs(persons: DataFrame, block: int = 200) -> DataFrame:
+    """(name_a, name_b), name_a < name_b: different spellings of one person. Rows without a person give no pair.
+
+    A person of more than ``block`` spellings is spread: one side of its pairs is cut into blocks by hash, the other
+    side is sent to each, so that no task makes all pairs of a person.
+    """
+    own = persons_of(persons)
+    parts = own.groupBy("person").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    own = cut_lineage(own.join(parts.filter("parts > 1"), "person", "left").withColumn("parts", F.coalesce("parts", F.lit(1))))
+    left = own.select("person", F.col("name").alias("name_a"), F.pmod(F.hash("name"), F.col("parts")).alias("part"))
+    right = own.select("person", F.col("name").alias("name_b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    return left.join(right, ["person", "part"]).filter("name_a < name_b").select("name_a", "name_b").distinct()

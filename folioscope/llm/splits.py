@@ -1,14 +1,16 @@
 """Splits of given proportions that keep related records together.
 
-Components of related papers are bundled by size and label profile; a min-cost flow sends the components of each
-bundle to the splits so that papers and labels miss their quotas as little as possible; inside a bundle the
-components go to their split in the order of a hash.
+Components of related papers are bundled by size and label profile; min-cost flows, one for each size, send the
+components of each bundle to the splits so that papers and labels miss their quotas as little as possible; inside a
+bundle the components go to their split in the order of a hash.
 """
 
 from __future__ import annotations
 
-import math
+import itertools
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,79 +40,130 @@ def related_groups(papers: DataFrame, mentions: DataFrame, key: str = "id", venu
     """(id, group_id): papers that share a person or a venue series, directly or through others, with the smallest id of each group."""
     base = papers.select(F.col(key).alias("id"), series_key(venue).alias("key"))
     _, joined, home = people(mentions, base)
-    merged = components(joined)
+    merged = components(joined)  # circles that nothing joins to another stay as they are
     final = home.join(merged, home.circle == merged.node, "left").select("id", F.coalesce("component", "circle").alias("group"))
     least = final.groupBy("group").agg(F.min("id").alias("group_id"))
     return final.join(least, "group").select("id", "group_id").distinct()
 
 
-def allocate(bundles: list[tuple[int, tuple[int, ...], int]], shares: list[float]) -> list[list[int]]:
-    """Components of each bundle (size, label counts, components) per split.
+def _flow(supply: list[int], cost: np.ndarray, sink: Callable[[int, int], float]) -> np.ndarray:
+    """Units of each source per split at the least cost, by successive shortest paths.
 
-    The fractional flow that sends each bundle to the splits by their shares meets every quota; it is rounded down,
-    and the components left over are sent one by one, largest first, along the cheapest arc; then cycles that
-    lower the cost are cancelled. The cost is the squared deviation of papers and labels from their quotas.
+    ``cost`` is per unit from source to split; ``sink(split, n)`` is what the n-th further unit in a split costs and
+    grows with n. A path may send a unit to a split and push another source's unit on from there, so it runs over the
+    splits only; residual arcs can be negative, which Bellman-Ford allows, and no cycle is.
+    """
+    k = cost.shape[1]
+    sent = np.zeros((len(supply), k), np.int64)
+    for b, units in enumerate(supply):
+        for _ in range(units):
+            length, back = cost[b].copy(), [(-1, b)] * k  # the split a path comes from, and the source it pushes
+            for _ in range(k - 1):
+                for s, t in itertools.permutations(range(k), 2):
+                    held = np.flatnonzero(sent[:, s])
+                    if len(held):
+                        push = held[np.argmin(cost[held, t] - cost[held, s])]
+                        if length[s] + cost[push, t] - cost[push, s] < length[t] - 1e-15:
+                            length[t], back[t] = length[s] + cost[push, t] - cost[push, s], (s, int(push))
+            t = min(range(k), key=lambda i: length[i] + sink(i, int(sent[:, i].sum())))
+            while True:
+                s, push = back[t]
+                sent[push, t] += 1
+                if s < 0:
+                    break
+                sent[push, s] -= 1
+                t = s
+    return sent
+
+
+def allocate(bundles: list[tuple[float, tuple[float, ...], int]], shares: list[float]) -> list[list[int]]:
+    """Components of each bundle (size, label counts, components) per split: a min-cost flow, rounded to whole components.
+
+    The cost is the squared deviation of papers, and of papers of each label, from the quotas of the splits, each over
+    its quota. Bundles of one size make one flow, the largest size first: the fractional optimum sends a bundle to the splits by what
+    their quotas still lack; it is rounded down, and the units left over go along shortest paths with the rising cost of each
+    split's arc. What rounding leaves is met by the smaller sizes that follow. At last cycles of one bundle, and of two, are cancelled until
+    none lowers the cost, which ends since each one lowers it.
     """
     k = len(shares)
-    dims = 1 + (len(bundles[0][1]) if bundles else 0)
-    weight = [(size, *labels) for size, labels, _ in bundles]
-    total = [sum(w[d] * n for w, (_, _, n) in zip(weight, bundles)) for d in range(dims)]
-    scale = [1.0 / max(t, 1) ** 2 for t in total]
-    gap = [[-total[d] * shares[s] for d in range(dims)] for s in range(k)]  # how far each split is over its quota
-    flow = [[math.floor(n * share) for share in shares] for _, _, n in bundles]
-    for b, w in enumerate(weight):
-        for s in range(k):
-            for d in range(dims):
-                gap[s][d] += w[d] * flow[b][s]
-
-    def price(s: int, w: tuple[int, ...], sign: int) -> float:
-        return sum(scale[d] * (2 * sign * w[d] * gap[s][d] + w[d] * w[d]) for d in range(dims))
-
-    def send(b: int, s: int, sign: int) -> None:
-        flow[b][s] += sign
-        for d in range(dims):
-            gap[s][d] += sign * weight[b][d]
-
-    for b in sorted(range(len(bundles)), key=lambda i: (-weight[i][0], weight[i])):
-        for _ in range(bundles[b][2] - sum(flow[b])):
-            send(b, min(range(k), key=lambda s: price(s, weight[b], 1)), 1)
-    for _ in range(20):
-        better = 0
-        for b, w in enumerate(weight):
-            for s in range(k):
-                if flow[b][s]:
-                    t = min((x for x in range(k) if x != s), key=lambda x: price(x, w, 1), default=s)
-                    if t != s and price(s, w, -1) + price(t, w, 1) < -1e-15:
-                        send(b, s, -1)
-                        send(b, t, 1)
-                        better += 1
-        if not better:
-            break
-    return flow
-
-
-def grouped_split(papers: DataFrame, mentions: DataFrame, shares: dict[str, float], key: str = "id", venue: str = "venue", label: str = "label", seed: int = 0) -> DataFrame:
+    if not bundles:
+        return []
+    weight = np.array([(size, *labels) for size, labels, _ in bundles], float)
+    count = np.array([n for _, _, n in bundles], np.int64)
+    quota = np.outer(shares, weight.T @ count)
+    scale = 1.0 / np.maximum(quota, 1e-9) / np.maximum(weight.T @ count, 1.0)
+    gap = -quota  # how far each split is over its quotas
+    flow = np.zeros((len(bundles), k), np.int64)
+    price = lambda s, w: (scale[s] * (2 * w * gap[s] + w * w)).sum(-1)
+    for size in sorted({w[0] for w in weight}, reverse=True):
+        own = np.flatnonzero(weight[:, 0] == size)
+        lack = np.maximum(-gap[:, 0], 0.0)
+        part = lack / lack.sum() if lack.sum() > 0 else np.asarray(shares) / sum(shares)
+        flow[own] = np.floor(count[own, None] * part[None, :] + 1e-9)
+        gap += flow[own].T @ weight[own]
+        cost = np.stack([(2 * scale[s, 1:] * gap[s, 1:] * weight[own, 1:]).sum(1) for s in range(k)], 1)
+        more = _flow((count[own] - flow[own].sum(1)).tolist(), cost, lambda s, n, z=size: scale[s, 0] * (2 * z * (gap[s, 0] + n * z) + z * z))
+        flow[own] += more
+        gap += more.T @ weight[own]
+    pairs = list(itertools.permutations(range(k), 2))
+    while True:
+        best = (-1e-12, None)
+        for s, t in pairs:
+            there, here = np.flatnonzero(flow[:, s]), np.flatnonzero(flow[:, t])
+            if not len(there):
+                continue
+            one = price(s, -weight[there]) + price(t, weight[there])
+            if one.min() < best[0]:
+                best = (one.min(), (s, t, [there[one.argmin()]], []))
+            for at in range(0, len(here) if s < t else 0, 512):
+                some = here[at : at + 512]
+                swap = weight[there][:, None, :] - weight[some][None, :, :]
+                two = price(s, -swap) + price(t, swap)
+                i, j = np.unravel_index(two.argmin(), two.shape)
+                if two[i, j] < best[0]:
+                    best = (two[i, j], (s, t, [there[i]], [some[j]]))
+        if best[1] is None:
+            return flow.tolist()
+        s, t, out, back = best[1]
+        turns = [(b, s, t) for b in out] + [(b, t, s) for b in back]
+        step = weight[out].sum(0) - weight[back].sum(0)
+        slope, bend = 2 * ((scale[t] * gap[t] - scale[s] * gap[s]) * step).sum(), ((scale[s] + scale[t]) * step * step).sum()
+        units = max(1, min(round(-slope / (2 * bend)), *(int(flow[b, x]) for b, x, _ in turns), int(flow[out[0], s])))
+        for b, x, y in turns:
+            flow[b, x] -= units
+            flow[b, y] += units
+        gap[s] -= units * step
+        gap[t] += units * step
+
+
+def grouped_split(papers: DataFrame, mentions: DataFrame, shares: dict[str, float], key: str = "id", venue: str = "venue", label: str = "label", seed: int = 0, exact: int = 5, labels: int = 20) -> DataFrame:
     """(id, group_id, split): every paper once; papers of one group stand in one split.
 
-    Bundles are exact up to 99 papers and share two leading digits of size and tenths of label shares beyond, so
-    their number, and what the driver sees, is bounded whatever the number of papers. Null venues and missing
-    authors tie nothing; a paper alone is its own group; null labels count as a label of their own; a repeated id
-    counts once; an empty table gives an empty result.
+    Components of up to ``exact`` papers are bundled by size and label counts; larger ones by size, from 10 papers by
+    its two leading digits, and by label shares in fifths, counted as the mean of their bundle. So the number of
+    bundles, and what the driver sees, is bounded by sizes and labels whatever the number of papers; what a split gets
+    differs from its plan by the spread inside the bundles of larger components only. More than ``labels`` different
+    labels raise. Null venues and missing authors tie nothing; a paper alone is its own group; null labels count as a
+    label of their own; a repeated id counts once, with its smallest label; an empty table gives an empty result.
     """
     groups = cut_lineage(related_groups(papers, mentions, key, venue))
-    labelled = groups.join(papers.select(F.col(key).alias("id"), F.coalesce(F.col(label), F.lit(0)).alias("label")).groupBy("id").agg(F.min("label").alias("label")), "id")
-    kinds = [0, 1, 2, 3, 4, 5]
-    sized = labelled.groupBy("group_id").agg(F.count("*").alias("size"), *[F.count_if(F.col("label") == v).alias(f"l{v}") for v in kinds])
+    seen = papers.select(F.col(label).alias("label")).distinct().limit(labels + 1).collect()
+    if len(seen) > labels:
+        raise ValueError(f"more than {labels} different labels")
+    kinds = sorted((r["label"] for r in seen), key=lambda v: (v is not None, v))
+    each = [f"l{i}" for i in range(len(kinds))]
+    labelled = groups.join(papers.select(F.col(key).alias("id"), F.col(label).alias("label")).groupBy("id").agg(F.min("label").alias("label")), "id")
+    sized = labelled.groupBy("group_id").agg(F.count("*").alias("size"), *[F.count_if(F.col("label").eqNullSafe(F.lit(v))).alias(c) for v, c in zip(kinds, each)])
     step = F.pow(F.lit(10.0), F.greatest(F.lit(0), F.floor(F.log10(F.col("size"))) - 1)).cast("long")
-    small = F.col("size") < 100
-    sized = sized.withColumn("cls", F.struct((F.floor(F.col("size") / step) * step).alias("s"), *[F.when(small & (F.col("size") < 6), F.col(f"l{v}")).otherwise(F.round(10 * F.col(f"l{v}") / F.col("size")).cast("long")).alias(f"p{v}") for v in kinds]))
-    sized = cut_lineage(sized.select("group_id", "size", "cls", *[f"l{v}" for v in kinds]))
-    rows = sized.groupBy("cls").agg(F.count("*").alias("n"), F.avg("size").alias("size"), *[F.avg(f"l{v}").alias(f"l{v}") for v in kinds]).collect()
+    profile = [F.when(F.col("size") <= exact, F.col(c)).otherwise(F.round(5 * F.col(c) / F.col("size")).cast("long")).alias(c) for c in each]
+    sized = sized.withColumn("cls", F.struct((F.floor(F.col("size") / step) * step).alias("s"), *profile))
+    sized = cut_lineage(sized.select("group_id", "size", "cls", *each))
+    rows = sized.groupBy("cls").agg(F.count("*").alias("n"), F.avg("size").alias("size"), *[F.avg(c).alias(c) for c in each]).orderBy("cls").collect()
     names = list(shares)
-    flow = allocate([(r["size"], tuple(r[f"l{v}"] for v in kinds), r["n"]) for r in rows], [shares[n] for n in names])
+    flow = allocate([(r["size"], tuple(r[c] for c in each), r["n"]) for r in rows], [shares[n] for n in names])
     spark = papers.sparkSession
     ends = [(r["cls"], names[s], sum(f[:s]), sum(f[: s + 1])) for r, f in zip(rows, flow) for s in range(len(names)) if f[s]]
-    plan = spark.createDataFrame(ends, _plan_schema(sized)) if ends else spark.createDataFrame([], _plan_schema(sized))
+    plan = spark.createDataFrame(ends, _plan_schema(sized))
     # rank of each component by hash inside its bundle, in two levels so that a large bundle is not sorted in one task
     hashed = sized.select("group_id", "cls", F.xxhash64("group_id", F.lit(seed)).alias("h")).withColumn("slot", F.shiftrightunsigned("h", 54))
     per = hashed.groupBy("cls", "slot").agg(F.count("*").alias("c"))

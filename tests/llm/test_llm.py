@@ -6,6 +6,7 @@ import random
 from datetime import datetime
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -288,6 +289,46 @@ def test_leakage(spark):
     assert leakage.leaked(df.limit(0), items).count() == 0 and leakage.leaked(df, []).count() == 0
 
 
+def test_passages_put_in_other_words(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(4)) for _ in range(600)]
+    line = lambda n: [rng.choice(words) for _ in range(n)]
+    said = [line(60) for _ in range(8)]
+    docs = [(k, " ".join(line(70))) for k in range(40)]
+    reworded = [w if k % 4 else rng.choice(words) for k, w in enumerate(said[2][12:40])]  # every fourth word is another one
+    docs[5] = (5, " ".join(line(24) + reworded + line(20)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked(df, [(i, " ".join(w)) for i, w in enumerate(said)]).collect()} == {(5, 2)}
+    with pytest.raises(ValueError, match="do not fit"):
+        leakage.leaked(df, [(i, "x") for i in range(leakage.MOST_ITEMS + 1)])
+
+
+def test_alignment_scores_against_plain_recursion():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        n, width = rng.integers(3, 12), rng.integers(3, 14)
+        like = rng.choice([-1.0, 0.8, 1.0], (1, n, width), p=[0.7, 0.1, 0.2]).astype(np.float32)
+        worth = rng.random((1, n)).astype(np.float32)
+        grid, pause, best = np.zeros((n + 1, width + 1)), np.zeros((n + 1, width + 1)), 0.0
+        common = np.zeros((n + 1, width + 1))
+        for i in range(1, n + 1):
+            for j in range(1, width + 1):
+                gain = like[0, i - 1, j - 1] * (worth[0, i - 1] if like[0, i - 1, j - 1] > 0 else 1)
+                pause[i, j] = max(pause[i, j - 1] - 0.15, grid[i, j - 1] - 1.0)
+                grid[i, j] = max(0, grid[i - 1, j - 1] + gain, grid[i - 1, j] - 0.8, pause[i, j])
+                common[i, j] = max(common[i - 1, j], common[i, j - 1], common[i - 1, j - 1] + max(gain, 0))
+                best = max(best, grid[i, j])
+        assert abs(leakage.alignments(like, worth)[0] - best) < 1e-4
+        assert abs(leakage.subsequences(like, worth)[0] - common[-1, -1]) < 1e-4
+
+
+def test_partial_matrices_are_added_in_a_tree(spark):
+    width, block = 2, np.arange(leakage._BLOCK * 2, dtype=np.float64).tobytes()
+    rows = spark.range(300).selectExpr("id as part").withColumn("block", F.explode(F.array(F.lit(0), F.lit(3)))).withColumn("data", F.lit(bytearray(block)))
+    total = leakage._summed(rows, 300, width)
+    assert total[0:256].sum() == 300 * np.arange(512).sum() == total[768:1024].sum() and total[256:768].sum() == 0
+
+
 # personal information
 
 LETTER = (

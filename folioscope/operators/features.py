@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscope.operators.ranking import quantiles
+from folioscope.session import cut_lineage
+
 
 def word_grams(c: Column) -> Column:
     """Words of two letters or more and pairs of neighbours."""
@@ -29,7 +32,7 @@ def tfidf(df: DataFrame, key: str, terms: Column, limit: int | None = None, leas
 
     The vocabulary keeps the ``limit`` terms of the largest corpus count, ties by term; all by aggregations and joins.
     """
-    tf = df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+    tf = cut_lineage(df.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf")))
     vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).filter(F.col("df") >= least)
     if limit:
         vocabulary = vocabulary.orderBy(F.desc("total"), "term").limit(limit)
@@ -53,6 +56,39 @@ def target_encoding(df: DataFrame, key: str, target: str, fold: str, smoothing:
     return out.withColumn("encoded", (F.coalesce("s", F.lit(0)) + F.col("__prior") * smoothing) / (F.coalesce("n", F.lit(0)) + smoothing)).drop("__k", "__f", "s", "n", "__prior")
 
 
+def encoding_of_train(train: DataFrame, test: DataFrame, key: str, target: str, smoothing: float = 20.0) -> DataFrame:
+    """``test`` with ``encoded``: the smoothed mean of the target of its key over all of ``train``; a key that train lacks gets the mean of all."""
+    per = train.groupBy(F.col(key).alias("__k")).agg(F.sum(target).alias("__s"), F.count(target).alias("__n"))
+    prior = train.agg(F.avg(target).alias("__prior"))
+    out = test.join(per, F.col(key).eqNullSafe(F.col("__k")), "left").crossJoin(F.broadcast(prior))
+    return out.withColumn("encoded", (F.coalesce("__s", F.lit(0)) + F.col("__prior") * smoothing) / (F.coalesce("__n", F.lit(0)) + smoothing)).drop("__k", "__s", "__n", "__prior")
+
+
+def feature_union(blocks: dict[str, DataFrame], key: str) -> DataFrame:
+    """(key, feature, weight): blocks of (key, term, weight) side by side, each term under the name of its block."""
+    parts = [df.select(key, F.concat(F.lit(f"{name}:"), "term").alias("feature"), "weight") for name, df in blocks.items()]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def column_transformer(df: DataFrame, key: str, numeric: list[str], categorical: list[str], least: int = 2) -> DataFrame:
+    """(key, feature, weight): numbers with the median for nulls and on one scale, categories that ``least`` rows have as 1; columns that ``df`` lacks are skipped."""
+    numbers, names = [c for c in numeric if c in df.columns], [c for c in categorical if c in df.columns]
+    parts = []
+    if numbers:
+        scaled = standardised(imputed(df.select(key, *numbers), numbers), numbers)
+        parts.append(scaled.select(key, F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("weight")) for c in numbers])).alias("e")).select(key, "e.*"))
+    for c in names:
+        hot = one_hot(df.select(key, F.col(c).cast("string").alias(c)), key, c, least).filter("value is not null")
+        parts.append(hot.select(key, F.concat(F.lit(f"{c}="), "value").alias("feature"), F.lit(1.0).alias("weight")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns with mean 0 and population deviation 1; a constant column becomes 0."""
     stats = df.agg(*[F.avg(c).alias(f"__m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"__s_{c}") for c in columns])
@@ -62,8 +98,9 @@ def standardised(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def imputed(df: DataFrame, columns: list[str]) -> DataFrame:
     """Nulls as the exact median of the column."""
-    medians = df.agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])
-    x = df.crossJoin(F.broadcast(medians))
+    x = df
+    for c in columns:
+        x = x.crossJoin(F.broadcast(quantiles(df, c, {f"__{c}": 0.5})))
     return x.select(*[c for c in df.columns if c not in columns], *[F.coalesce(F.col(c).cast("double"), F.col(f"__{c}")).alias(c) for c in columns])
 
 

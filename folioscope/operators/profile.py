@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscope.operators.enrich import joined_null_safe
+from folioscope.operators.ranking import quantiles
+
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, percent): nulls count as a value."""
@@ -29,7 +32,9 @@ def distribution_distance(a: DataFrame, b: DataFrame) -> DataFrame:
 def group_stats(df: DataFrame, keys: list[str], value: str, keep_null_keys: bool = True) -> DataFrame:
     """(keys…, n, mean, median, std) with the sample deviation."""
     rows = df if keep_null_keys else df.dropna(subset=keys)
-    return rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_samp(value).alias("std"))
+    stats = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
+    middle = quantiles(rows, value, {"median": 0.5}, keys)
+    return joined_null_safe(stats, middle, keys).select(*keys, "n", "mean", "median", "std")
 
 
 def group_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -56,8 +61,9 @@ def contrast(df: DataFrame, flags: dict[str, Column], value: str, by: list[str]
 
 def describe(df: DataFrame, column: str) -> DataFrame:
     """(n, mean, std, min, q25, q50, q75, max)."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max")).select("n", "mean", "std", "min", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))], "max")
+    stats = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = quantiles(df, column, {f"q{p}": p / 100 for p in (25, 50, 75)})
+    return stats.crossJoin(F.broadcast(q)).select("n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def histogram(df: DataFrame, column: str, edges: list[float]) -> DataFrame:

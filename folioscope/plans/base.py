@@ -18,28 +18,44 @@ def clip(c):
     return F.least(F.greatest(c, F.lit(1.0)), F.lit(5.0))
 
 
-def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Train papers with four score families computed from their fields, and the labels these scores give."""
-    t = table(spark, sf_dir, "train", "id", "title", "venue", "year", "authors", "doi", "label")
-    n, y, a = F.length(F.coalesce("title", F.lit(""))), F.coalesce("year", F.lit(2020)), F.length(F.coalesce("authors", F.lit("")))
-    t = t.withColumns(
-        {
-            "s1": clip(F.col("label") * 0.6 + 1.2 + (n % 17 - 8) / 10.0),
-            "s2": clip(F.col("label") * 0.5 + 1.5 + (F.col("id") % 13 - 6) / 8.0),
-            "s3": clip(F.col("label") * 0.4 + 1.8 + (y % 7 - 3) / 5.0),
-            "s4": clip(2.5 + (a % 23 - 11) / 10.0),
-        }
-    )
+def with_scores(t: DataFrame) -> DataFrame:
+    """``t`` with four score families computed from a digest of id and title and from the authors, never from the label, and the labels these scores give."""
+    digest = F.md5(F.concat_ws("|", F.col("id").cast("string"), F.coalesce("title", F.lit(""))))
+    part = lambda at: F.conv(F.substring("__d", at, 4), 16, 10).cast("double") / 65535.0
+    t = t.withColumn("__d", digest).withColumn("s1", part(1) * 4.0 + 1.0)
+    a = F.length(F.coalesce("authors", F.lit("")))
+    t = t.withColumns({"s2": clip(F.col("s1") + (part(5) - 0.5) * 1.6), "s3": clip(F.col("s1") + (part(9) - 0.5) * 2.4), "s4": clip(2.5 + (a % 23 - 11) / 10.0)}).drop("__d")
     return t.withColumns({f"p{i}": label_by_cuts(f"s{i}", CUTS) for i in range(1, 5)})
 
 
-_SCORES = """select id,title,venue,year,authors,doi,label,
- least(greatest(label*0.6::double+1.2::double+(length(coalesce(title,''))%17-8)/10.0::double,1.0::double),5.0::double)::double as s1,
- least(greatest(label*0.5::double+1.5::double+(id%13-6)/8.0::double,1.0::double),5.0::double)::double as s2,
- least(greatest(label*0.4::double+1.8::double+(coalesce(year,2020)%7-3)/5.0::double,1.0::double),5.0::double)::double as s3,
- least(greatest(2.5::double+(length(coalesce(authors,''))%23-11)/10.0::double,1.0::double),5.0::double)::double as s4 from train"""
+def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train papers with their scores."""
+    return with_scores(table(spark, sf_dir, "train", "id", "title", "venue", "year", "authors", "doi", "label"))
+
+
+def held_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The papers of both test splits with their scores."""
+    parts = [table(spark, sf_dir, s, "id", "title", "venue", "year", "authors").withColumn("source_split", F.lit(s)) for s in ("public_test", "private_test")]
+    return with_scores(parts[0].unionByName(parts[1]))
+
+
+_H = "(('0x'||substr(d,{k},4))::int/65535.0::double)"
+_CLIP = "least(greatest({x},1.0::double),5.0::double)::double"
+_SCORES = (
+    "select * exclude (d), "
+    + _CLIP.format(x=f"s1+({_H.format(k=5)}-0.5::double)*1.6::double")
+    + " as s2, "
+    + _CLIP.format(x=f"s1+({_H.format(k=9)}-0.5::double)*2.4::double")
+    + " as s3, "
+    + _CLIP.format(x="2.5::double+(length(coalesce(authors,''))%23-11)/10.0::double")
+    + " as s4 from (select *, "
+    + _H.format(k=1)
+    + "*4.0::double+1.0::double as s1 from (select *, md5(id::varchar||'|'||coalesce(title,'')) as d from {t}))"
+)
+_BOTH = "(select id,title,venue,year,authors,'public_test' as source_split from public_test union all select id,title,venue,year,authors,'private_test' from private_test)"
 _LABEL = "(1+(s{i}>=1.7::double)::int+(s{i}>=2.4::double)::int+(s{i}>=3.0::double)::int+(s{i}>=3.8::double)::int)"
-PAPERS_SQL = f"papers as (select *, {', '.join(_LABEL.format(i=i) + f' as p{i}' for i in range(1, 5))} from ({_SCORES}))"
+PAPERS_SQL = f"papers as (select *, {', '.join(_LABEL.format(i=i) + f' as p{i}' for i in range(1, 5))} from ({_SCORES.format(t='train')}))"
+TESTS_SQL = f"tests as (select *, {', '.join(_LABEL.format(i=i) + f' as p{i}' for i in range(1, 5))} from ({_SCORES.format(t=_BOTH)}))"
 LONG_SQL = "long as (" + " union all ".join(f"select id,label,'s{i}' as anchor,s{i} as score,p{i} as pred from papers" for i in range(1, 5)) + ")"
 FOLDS_SQL = "folds as (select *, cast((row_number() over(partition by label order by md5('252'||'|'||cast(id as varchar)))-1)%5 as int) as fold from papers)"
 

@@ -17,6 +17,7 @@ def build_session(cpus: int | None = None, app: str = "folioscope", **conf: str)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("FOLIOSCOPE_DRIVER_MEMORY", "8g"))
@@ -28,12 +29,14 @@ def build_session(cpus: int | None = None, app: str = "folioscope", **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the session; a temporary one is set only where none is configured."""
+    """The shared checkpoint folder of the session. Where none is configured, one is made on a single machine; a cluster without one raises."""
     sc = spark.sparkContext
     have = sc.getCheckpointDir()
     if have:
         return have
     shared = sc.getConf().get("spark.checkpoint.dir", None)
+    if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+        raise RuntimeError("spark.checkpoint.dir is not set: name a folder that all executors share")
     target = shared or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(target)
     return target

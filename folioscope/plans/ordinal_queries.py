@@ -280,10 +280,10 @@ def _(s, d):
 
 # metrics, thresholds, blends, gates
 
-_MET = "round(1-avg((label-{p})*(label-{p}))/nullif(var_pop(label)+var_pop({p})+power(avg(label)-avg({p}),2),0),6) as qwk, round(avg((label={p})::int),6) as accuracy, round(avg(abs(label-{p})),6) as mae, round(avg((abs(label-{p})<=1)::int),6) as adjacent"
+MET = "round(1-avg((label-{p})*(label-{p}))/nullif(var_pop(label)+var_pop({p})+power(avg(label)-avg({p}),2),0),6) as qwk, round(avg((label={p})::int),6) as accuracy, round(avg(abs(label-{p})),6) as mae, round(avg((abs(label-{p})<=1)::int),6) as adjacent"
 
 
-@query("r1_r4_metrics", PL + f"select anchor, {_MET.format(p='pred')} from long group by 1")
+@query("r1_r4_metrics", PL + f"select anchor, {MET.format(p='pred')} from long group by 1")
 def _(s, d):
     return long_scores(papers(s, d)).groupBy("anchor").agg(*me.scored("label", "pred"))
 
@@ -293,7 +293,7 @@ def _(s, d):
     return me.macro_f1(papers(s, d), "label", "p1").select(r6("macro_f1").alias("macro_f1"))
 
 
-@query("r6_round_qwk", P + f"select {_MET.format(p='p').split(', round(avg((label=')[0]} from (select label, least(greatest(round_even(s1,0),1),5) as p from papers)")
+@query("r6_round_qwk", P + f"select {MET.format(p='p').split(', round(avg((label=')[0]} from (select label, least(greatest(round_even(s1,0),1),5) as p from papers)")
 def _(s, d):
     return papers(s, d).withColumn("p", F.least(F.greatest(F.bround("s1"), F.lit(1)), F.lit(5))).agg(r6(me.qwk("label", "p")).alias("qwk"))
 
@@ -320,7 +320,7 @@ def _(s, d):
 _SETS = [("base", 0.0), ("lower", -0.1), ("higher", 0.1)]
 
 
-@query("k4_threshold_variants", P + "select name, " + _MET.format(p="p") + " from (select name, label, 1+(s1>=c1)::int+(s1>=c2)::int+(s1>=c3)::int+(s1>=c4)::int as p from papers cross join (values " + ",".join("('%s',%s)" % (n, ",".join(f"{c + o!r}::double" for c in CUTS)) for n, o in _SETS) + ") v(name,c1,c2,c3,c4)) group by 1")
+@query("k4_threshold_variants", P + "select name, " + MET.format(p="p") + " from (select name, label, 1+(s1>=c1)::int+(s1>=c2)::int+(s1>=c3)::int+(s1>=c4)::int as p from papers cross join (values " + ",".join("('%s',%s)" % (n, ",".join(f"{c + o!r}::double" for c in CUTS)) for n, o in _SETS) + ") v(name,c1,c2,c3,c4)) group by 1")
 def _(s, d):
     sets = s.createDataFrame([(n, [c + o for c in CUTS]) for n, o in _SETS], "name string, cuts array<double>")
     return od.evaluate_cut_sets(papers(s, d).select("s1", "label"), "s1", "label", sets)
@@ -345,7 +345,7 @@ def _grid(s, d):
     return x.withColumn("p", me.label_by_cuts(F.col("w1") * F.col("s1") + F.col("w2") * F.col("s2") + F.col("w3") * F.col("s3"), CUTS))
 
 
-_GS = P + ", w(candidate,w1,w2,w3) as (values " + ",".join(f"({i},{g['s1']!r}::double,{g['s2']!r}::double,{g['s3']!r}::double)" for i, g in enumerate(_GRID)) + "), x as (select *, 1+(b>=1.7::double)::int+(b>=2.4::double)::int+(b>=3.0::double)::int+(b>=3.8::double)::int as p from (select papers.*, w.*, w1*s1+w2*s2+w3*s3 as b from papers cross join w)), c as (select candidate, " + _MET.format(p="p") + ", count(*) filter(where p<>p1) as changed, count(*) filter(where abs(label-p)<abs(label-p1)) as improved, count(*) filter(where abs(label-p)>abs(label-p1)) as worsened from x group by 1) "
+_GS = P + ", w(candidate,w1,w2,w3) as (values " + ",".join(f"({i},{g['s1']!r}::double,{g['s2']!r}::double,{g['s3']!r}::double)" for i, g in enumerate(_GRID)) + "), x as (select *, 1+(b>=1.7::double)::int+(b>=2.4::double)::int+(b>=3.0::double)::int+(b>=3.8::double)::int as p from (select papers.*, w.*, w1*s1+w2*s2+w3*s3 as b from papers cross join w)), c as (select candidate, " + MET.format(p="p") + ", count(*) filter(where p<>p1) as changed, count(*) filter(where abs(label-p)<abs(label-p1)) as improved, count(*) filter(where abs(label-p)>abs(label-p1)) as worsened from x group by 1) "
 
 
 def _candidates(s, d):

@@ -20,27 +20,27 @@ def ridge(alpha: float, rows: int, deviation: float) -> LinearRegression:
 
 def huber(alpha: float, rows: int, epsilon: float = 1.5) -> LinearRegression:
     """Huber regression."""
-    return LinearRegression(labelCol="label", loss="huber", epsilon=epsilon, standardization=False, regParam=alpha / rows, maxIter=40)
+    return LinearRegression(labelCol="label", loss="huber", epsilon=epsilon, standardization=False, regParam=alpha / rows, maxIter=20)
 
 
-def forest(trees: int = 50) -> RandomForestClassifier:
+def forest(trees: int = 100) -> RandomForestClassifier:
     """Forest with two rows to a leaf, the root of the features to a split, and class weights."""
     return RandomForestClassifier(labelCol="label", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", weightCol="weight", seed=42)
 
 
 def logistic(c: float, rows: int) -> OneVsRest:
     """One-versus-rest logistic regression with the inverse penalty ``c``."""
-    return OneVsRest(classifier=LogisticRegression(regParam=1 / (c * rows), standardization=False, maxIter=15), labelCol="label", parallelism=4)
+    return OneVsRest(classifier=LogisticRegression(regParam=1 / (c * rows), standardization=False, maxIter=20), labelCol="label", parallelism=8)
 
 
 def support_vectors(c: float, rows: int) -> OneVsRest:
     """One-versus-rest linear support vectors with the hinge loss."""
-    return OneVsRest(classifier=LinearSVC(regParam=1 / (c * rows), standardization=False, maxIter=6), labelCol="label", parallelism=4)
+    return OneVsRest(classifier=LinearSVC(regParam=1 / (c * rows), standardization=False, maxIter=10), labelCol="label", parallelism=8)
 
 
-def boosted(rounds: int = 30) -> GBTRegressor:
+def boosted(rounds: int = 30, step: float = 0.1) -> GBTRegressor:
     """Boosted regression trees."""
-    return GBTRegressor(labelCol="label", maxIter=rounds, stepSize=0.1, maxDepth=3, minInstancesPerNode=20, seed=42)
+    return GBTRegressor(labelCol="label", maxIter=rounds, stepSize=step, maxDepth=3, minInstancesPerNode=20, seed=42)
 
 
 def text_features(df: DataFrame, text: str, size: int = 1 << 12) -> DataFrame:

@@ -56,9 +56,12 @@ def _same(left: list[str], right: list[str]) -> Column:
 
 def percentile_rank(df: DataFrame, value: str, group: list[str], out: str, least: int = 0) -> DataFrame:
     """``df`` with the average rank of ``value`` inside its group over the number of values; null stays null, and is given where the group has fewer than ``least`` values."""
+    return _back(df, _shares(df, value, group, out, least), [*group, value], out)
+
+
+def _shares(df: DataFrame, value: str, group: list[str], out: str, least: int) -> DataFrame:
     share = (F.col("__below") + (F.col("__n") + 1) / 2) / F.col("__all")
-    ranked = ranked_values(df, value, group).withColumn(out, F.when(F.col("__all") >= least, share))
-    return _back(df, ranked, [*group, value], out)
+    return ranked_values(df, value, group).withColumn(out, F.when(F.col("__all") >= least, share))
 
 
 def global_percentile_rank(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -70,7 +73,7 @@ def rank_with_fallback(df: DataFrame, value: str, groups: list[list[str]], out:
     """``df`` with the percentile rank of ``value`` in the first of the ``groups`` of columns in which its group has ``least`` values, else in the whole table."""
     seen = df
     for i, group in enumerate([*groups, []]):
-        seen = percentile_rank(seen, value, group, f"__r{i}", least if group else 0)
+        seen = _back(seen, _shares(df, value, group, f"__r{i}", least if group else 0), [*group, value], f"__r{i}")
     ranks = [f"__r{i}" for i in range(len(groups) + 1)]
     return seen.withColumn(out, F.coalesce(*ranks)).drop(*ranks)
 

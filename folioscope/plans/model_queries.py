@@ -27,24 +27,29 @@ def _base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mo.assembled(_base(spark, sf_dir), ["s2", "s3", "s4", "year"])
+    sizes = {"title_length": F.length(F.coalesce("title", F.lit(""))), "title_words": F.size(F.split(F.coalesce("title", F.lit("")), " "))}
+    return mo.assembled(_base(spark, sf_dir).withColumns(sizes), ["s2", "s3", "s4", "year", *sizes])
+
+
+def _text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mo.text_features(_base(spark, sf_dir), "title").select("id", "fold", "label", "features").cache()
 
 
 def m5_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold metrics of a forest on the scores."""
     df = _dense(spark, sf_dir)
-    return _scored(mo.out_of_fold(df.join(F.broadcast(class_weights(df, "label")), "label"), mo.forest(20), first=1))
+    return _scored(mo.out_of_fold(df.join(F.broadcast(class_weights(df, "label")), "label"), mo.forest(), first=1))
 
 
 def m6_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold metrics of one-versus-rest logistic regression on the scores."""
-    df = _dense(spark, sf_dir)
+    """Out-of-fold metrics of one-versus-rest logistic regression on hashed title words."""
+    df = _text(spark, sf_dir)
     return _scored(mo.out_of_fold(df, mo.logistic(1.0, df.count()), first=1))
 
 
 def m8_support_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold metrics of linear support vectors on the scores."""
-    df = _dense(spark, sf_dir)
+    """Out-of-fold metrics of linear support vectors on hashed title words."""
+    df = _text(spark, sf_dir)
     return _scored(mo.out_of_fold(df, mo.support_vectors(1.0, df.count()), first=1))
 
 
@@ -66,20 +71,20 @@ def x8_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def m11_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold metrics of ridge regression on hashed title words."""
-    df = mo.text_features(_base(spark, sf_dir), "title")
+    df = _text(spark, sf_dir)
     n = df.agg(F.count("*"), F.stddev_samp("label")).first()
     return _scored(mo.out_of_fold(df, mo.ridge(8.0, n[0], n[1])))
 
 
 def m12_huber(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Out-of-fold metrics of Huber regression on the scores."""
-    df = _dense(spark, sf_dir)
+    """Out-of-fold metrics of Huber regression on hashed title words."""
+    df = _text(spark, sf_dir)
     return _scored(mo.out_of_fold(df, mo.huber(0.01, df.count())))
 
 
 def m14_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold metrics of boosted trees on the scores."""
-    return _scored(mo.out_of_fold(_dense(spark, sf_dir), mo.boosted(10)))
+    return _scored(mo.out_of_fold(_dense(spark, sf_dir), mo.boosted()))
 
 
 def s1_s8_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

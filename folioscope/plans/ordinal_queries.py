@@ -71,13 +71,6 @@ def _(s, d):
     return en.joined_null_safe(b, b.groupBy("venue", "authors", "year").agg(F.count("*").alias("n")), ["venue", "authors", "year"]).select("id", "n")
 
 
-@query("j6_j7_anchor_join", P + "select id, label, round(s1,6) as s1, round(s2,6) as s2, round(s3,6) as s3, round(s4,6) as s4 from papers")
-def _(s, d):
-    """Long scores brought to one row per paper."""
-    long = long_scores(papers(s, d))
-    return long.groupBy("id", "label").agg(*[r6(F.max(F.when(F.col("anchor") == f"s{i}", F.col("score")))).alias(f"s{i}") for i in range(1, 5)])
-
-
 @query("j8_s11_remaining", "select distinct id from train where id not in (select id from s2_match_abstracts where source_split='train')")
 def _(s, d):
     return en.remaining(table(s, d, "train", "id"), table(s, d, "s2_match_abstracts", "source_split", "id").filter("source_split = 'train'"), ["id"])
@@ -127,33 +120,9 @@ def _(s, d):
     return b.select("id", value.alias("rec"), source.alias("src"))
 
 
-@query("j15_m20_pair_loss", PF + "select fold, count(*) as n, round(avg(ln(1+exp(-(a.s1-b.s1)))*(a.label-b.label)),6) as loss from (select fold,label,s1,substring(md5('p|'||id::varchar),1,2) as k from folds) a join (select fold,label,s1,substring(md5('q|'||id::varchar),1,2) as k from folds) b using(fold,k) where a.label>b.label group by 1")
-def _(s, d):
-    """A fixed share of the pairs of a higher with a lower label, by digest, and their ranking loss."""
-    b = with_folds(papers(s, d).select("id", "label", "s1"))
-    key = lambda p: F.substring(F.md5(F.concat(F.lit(p), F.col("id").cast("string"))), 1, 2)
-    x = b.select("fold", key("p|").alias("k"), F.col("label").alias("la"), F.col("s1").alias("sa"))
-    y = b.select("fold", key("q|").alias("k"), F.col("label").alias("lb"), F.col("s1").alias("sb"))
-    return x.join(y, ["fold", "k"]).filter("la > lb").groupBy("fold").agg(F.count("*").alias("n"), r6(F.avg(F.log1p(F.exp(-(F.col("sa") - F.col("sb")))) * (F.col("la") - F.col("lb")))).alias("loss"))
-
-
 # retrieval
 
 
-@query("x1_x3_title_match")
-def _(s, d):
-    """Best train title of each test paper among those that share a word n-gram, by edit similarity with a year bonus."""
-    grams = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice("w", i + 1, 3), " "))))).alias("g")
-    side = lambda n: table(s, d, n, "id", "title", "year").withColumn("w", F.split(t.normalize_words("title"), " ")).filter(F.array_join("w", " ") != "")
-    a, b = side("public_test"), side("train").withColumnRenamed("id", "train_id")
-    near = a.select("id", grams).join(b.select("train_id", grams), "g").select("id", "train_id").distinct()
-    near = near.join(a.select("id", F.array_join("w", " ").alias("q"), F.col("year").alias("qy")), "id").join(b.select("train_id", F.array_join("w", " ").alias("c"), F.col("year").alias("cy")), "train_id")
-    sim = 1 - F.levenshtein("q", "c") / F.greatest(F.length("q"), F.length("c"))
-    bonus = F.when(F.abs(F.col("qy") - F.col("cy")) <= 1, 0.05).when(F.abs(F.col("qy") - F.col("cy")) <= 3, 0.02).otherwise(0.0)
-    best = near.withColumns({"sim": sim, "score": sim + bonus}).groupBy("id").agg(F.max_by(F.struct("train_id", "sim"), F.struct("score", -F.col("train_id"))).alias("b"))
-    return best.select("id", "b.train_id", r6("b.sim").alias("sim"), (F.col("b.sim") >= 0.86).alias("found"))
-
-
 @query("x2_year_bonus", "select openalex_id, case when abs(openalex_year-2020)<=1 then 0.05 when abs(openalex_year-2020)<=3 then 0.02 else 0.0 end::double as bonus from openalex_title_features")
 def _(s, d):
     gap = F.abs(F.col("openalex_year") - 2020)
@@ -249,16 +218,6 @@ def _(s, d):
     return with_folds(table(s, d, "train", "id", "label"), seed=777, group=()).select("id", "fold")
 
 
-@query("m4_repeated_cv", PF + ", o as (" + " union all ".join(f"select f.id, avg(g.s2) as x from folds f join (select fold, avg(s2) s2 from folds group by 1) g on g.fold<>f.fold and {i}={i} group by 1" for i in (1, 2)) + ") select id, round(avg(x),6) as oof from o group by 1")
-def _(s, d):
-    """Mean of out-of-fold predictions over repeats; the model of a fold is the mean of the other folds."""
-    b = with_folds(papers(s, d).select("id", "label", "s2"))
-    per = b.groupBy("fold").agg(F.avg("s2").alias("m"))
-    other = per.select("fold").join(per.withColumnRenamed("fold", "f2"), F.col("fold") != F.col("f2")).groupBy("fold").agg(F.avg("m").alias("x"))
-    repeats = F.explode(F.array(F.lit(1), F.lit(2)))
-    return b.join(F.broadcast(other), "fold").withColumn("seed", repeats).groupBy("id").agg(r6(F.avg("x")).alias("oof"))
-
-
 @query("m16_argmax", P + "select id, cast(list_position([s1,s2,s3,s4],list_max([s1,s2,s3,s4])) as int) as best from papers")
 def _(s, d):
     x = F.array("s1", "s2", "s3", "s4")

@@ -158,7 +158,7 @@ def _(s, d):
     return table(s, d, "train", "title").groupBy(F.lower("title").alias("title_key")).agg(F.count("*").alias("n")).filter("n > 1")
 
 
-@query("f6_null_check", P + "select count(*) as n, cast(0 as bigint) as missing from papers")
+@query("f6_null_check", P + "select count(*) as n, count(*) filter(where s1 is null or isnan(s1)) as missing from papers")
 def _(s, d):
     return papers(s, d).agg(F.count("*").alias("n"), F.count_if(F.isnan("s1") | F.col("s1").isNull()).alias("missing"))
 
@@ -323,7 +323,7 @@ def _(s, d):
 @query("a19_cleanest", P + "select id, p.label from papers p join (select label, quantile_cont(s1,0.8) as q from papers group by 1) q on p.label=q.label and p.s1>=q.q")
 def _(s, d):
     b = papers(s, d).select("id", "label", "s1")
-    q = b.groupBy("label").agg(F.percentile("s1", F.lit(0.8)).alias("q"))
+    q = rk.quantiles(b, "s1", {"q": 0.8}, ["label"])
     return b.join(F.broadcast(q), "label").filter("s1 >= q").select("id", "label")
 
 
@@ -385,8 +385,7 @@ def _(s, d):
 @query("w3_report_position", "select venue, n, cast(row_number() over(order by n desc, venue) as int) as pos from (select coalesce(venue,'') as venue, count(*) as n from train group by 1)")
 def _(s, d):
     report = table(s, d, "train", "venue").groupBy(F.coalesce("venue", F.lit("")).alias("venue")).agg(F.count("*").alias("n"))
-    placed = rk.hashed_rank(report, [], F.concat(F.lpad(F.hex(F.lit(10**9) - F.col("n")), 9, "0"), F.hex("venue")))
-    return placed.withColumnRenamed("rank", "pos")
+    return rk.report_position(report, [F.desc("n"), F.col("venue")], "pos")
 
 
 @query("w4_s10_keep_last", "select source_split, id, rec_id, batch_no from (select *, row_number() over(partition by source_split,id order by batch_no desc, rec_id desc) as r from s2_match_abstracts) where r=1")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscope.plans import gate_queries, model_queries, ordinal_queries, packed_queries, profile_queries, text_queries
+from folioscope.plans import family_queries, gate_queries, model_queries, ordinal_queries, packed_queries, profile_queries, text_queries
 
-_MODULES = [packed_queries, text_queries, profile_queries, ordinal_queries, model_queries, gate_queries]
+_MODULES = [packed_queries, text_queries, profile_queries, ordinal_queries, model_queries, gate_queries, family_queries]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -8,6 +8,7 @@ from pathlib import PurePath
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.operators.enrich import remaining, upsert
@@ -53,8 +54,8 @@ def enriched(wanted: DataFrame, cache: DataFrame, key: str, fetch: Fetch, sequen
 
 def read_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The Parquet table at the path, or an empty one."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+    files, where = _files(spark, path)
+    if files.exists(where):
         return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
@@ -62,9 +63,9 @@ def read_if_exists(spark: SparkSession, path: str, schema: T.StructType) -> Data
 def first_existing(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
     """The first of the tables that exists, or an empty one."""
     for path in paths:
-        df = read_if_exists(spark, path, schema)
-        if df.inputFiles():
-            return df
+        files, where = _files(spark, path)
+        if files.exists(where):
+            return spark.read.schema(schema).parquet(path)
     return spark.createDataFrame([], schema)
 
 
@@ -76,3 +77,81 @@ def write_csv(df: DataFrame, path: str) -> None:
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """CSV written by ``write_csv``; "" and null stay apart, line breaks inside quotes are kept."""
     return spark.read.schema(schema).option("header", True).option("escape", '"').option("multiLine", True).option("nullValue", "").option("emptyValue", "").csv(path)
+
+
+def resolved(df: DataFrame, names: list[str]) -> str:
+    """The first of the names that the table has; raises where it has none."""
+    for name in names:
+        if name in df.columns:
+            return name
+    raise ValueError(f"none of the columns {', '.join(names)}")
+
+
+def rejecting(df: DataFrame, column: str) -> DataFrame:
+    """``df`` itself; the job fails at the first null or NaN of the column."""
+    number = F.col(column).cast("double")
+    return df.withColumn(column, F.when(number.isNull() | F.isnan(number), F.raise_error(F.lit(f"{column} has a null or NaN"))).otherwise(F.col(column)))
+
+
+def score_family(df: DataFrame, key: str, names: list[str], out: str) -> DataFrame:
+    """(key, out): the score column under whichever of the names the table has; a null or NaN fails the job."""
+    return rejecting(df.select(key, F.col(resolved(df, names)).alias(out)), out)
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def replace_csv(df: DataFrame, path: str, attempts: int = 5, pause: float = 0.5) -> None:
+    """CSV written beside the target and put in its place by a rename, tried again after a longer pause each time; readers see the old table or the new one."""
+    spark = df.sparkSession
+    files, target = _files(spark, path)
+    fresh = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.new")
+    for attempt in range(attempts):
+        try:
+            write_csv(df, f"{path}.new")
+            files.delete(target, True)
+            if files.rename(fresh, target):
+                return
+            raise OSError(f"cannot rename to {path}")
+        except Exception:
+            if attempt == attempts - 1:
+                raise
+            time.sleep(pause * (attempt + 1))
+
+
+def encoded_once(df: DataFrame, path: str, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The encoded table at the path; it is made and written there the first time, whole or not at all."""
+    spark = df.sparkSession
+    files, done = _files(spark, f"{path}/_SUCCESS")
+    if not files.exists(done):
+        encode(df).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def write_report(df: DataFrame, path: str, title: str, style: str = "markdown") -> None:
+    """A short report of the rows of ``df`` in their order, one text file: a markdown table under its title, or JSON lines."""
+    if style == "json":
+        lines = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    else:
+        cells = F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns]), F.lit(" |"))
+        head = [f"# {title}", "", f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}"]
+        lines = df.sparkSession.createDataFrame([(h,) for h in head], "value string").coalesce(1).union(df.select(cells.alias("value")).coalesce(1))
+    lines.coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_npy(spark: SparkSession, path: str, rows_per_block: int = 1024) -> DataFrame:
+    """(file, row, embedding): the rows of the .npy matrices under the path, each file mapped by the task that reads it."""
+    import numpy as np
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name in frame["file"]:
+                matrix = np.load(name.removeprefix("file:"), mmap_mode="r")
+                for at in range(0, len(matrix), rows_per_block):
+                    block = np.asarray(matrix[at : at + rows_per_block], np.float32)
+                    yield pd.DataFrame({"file": name, "row": range(at, at + len(block)), "embedding": list(block)})
+
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").load(path).select(F.col("path").alias("file"))
+    return names.mapInPandas(run, "file string, row long, embedding array<float>")

@@ -8,11 +8,11 @@ people stay different and one person stays one person everywhere.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import hmac
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioscope.llm.names import NICKNAMES, PARTICLES, fold
+from folioscope.llm.names import NICKNAMES, PARTICLES, SUFFIXES, fold, parse_name
 from folioscope.session import cut_lineage
 
 _CAP = r"\p{Lu}[\p{L}\p{M}'’]+(?:-\p{Lu}[\p{L}\p{M}'’]+)*"
@@ -274,6 +274,16 @@ def find_personal(documents: DataFrame, given: frozenset[str], key: str = "doc_i
 _SYLLABLES = "ba be bi bo bu da de di do du fa fe fi fo ga ge go ha he ho ja jo ka ke ki ko la le li lo lu ma me mi mo na ne ni no pa pe po ra re ri ro sa se si so ta te ti to va ve vi vo za ze zo".split()
 _CYRILLIC = "ба бе би бо да де ди до ка ке ки ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са се си со та те ти то".split()
 _HAN = "安白成大方高光海和江金林明宁平山石天田文西夏新雪阳云"
+# Given names that women bear; with those that end in "a" but for the exceptions, and what titles say, they tell the gender.
+WOMEN = frozenset("agnes alice anais anne anneke beatrice carmen chloe deborah elizabeth elif esther grace hannah helen ingrid ines irene jacqueline jane jennifer judith karen kate katherine lucy malle margaret marie mary michelle nicole rachel rosemary ruth sarah sirin sophie stephanie sue susan tamar yasmin zoe".split())
+MEN_IN_A = frozenset("andrea ezra joshua luca mustafa nikita nicola sasha".split())
+# Titles of women and of men, and words of addresses that are no names.
+TITLES = {"f": ("mrs", "ms", "miss", "frau", "madame", "mme", "señora", "sra", "signora"), "m": ("mr", "herr", "monsieur", "señor", "sr", "signor")}
+_KEEP = frozenset("flat apt apartment unit suite street road lane terrace avenue court drive way square place close row crescent garden gardens box calle avenida camino plaza paseo carrera ronda postfach rue chemin boulevard quai impasse allee route cours passage apartado correos boite postale am an der auf dem im in den zum zur unter hinter vor de la du des del las los p o bp".split())
+_LETTERS = regex.compile(r"[\p{L}\p{M}'’]+")
+_AT = regex.compile(r"[@＠]|\s?[\[({](?i:at|@|arroba|ät)[\])}]\s?|\s(?i:at)\s")
+_DOTS = frozenset(("dot", "punkt", "point", "punto"))
+KEPT_DIGITS = 2  # digits at the start of a phone number that stay: what it is dialled with
 
 
 def _draw(key: str, *parts: object) -> int:
@@ -281,7 +291,7 @@ def _draw(key: str, *parts: object) -> int:
 
 
 def _word(like: str, seed: int) -> str:
-    """A word made up from the seed in the script and letter case of ``like``."""
+    """A lower-case word made up from the seed in the script and about the length of ``like``."""
     if regex.search(r"\p{Han}", like):
         return "".join(_HAN[(seed >> (5 * i)) % len(_HAN)] for i in range(max(2, len(like))))
     parts = _CYRILLIC if regex.search(r"\p{Cyrillic}", like) else _SYLLABLES
@@ -289,67 +299,177 @@ def _word(like: str, seed: int) -> str:
     while len(out) < max(4, min(len(like), 9)):
         out += parts[seed % len(parts)]
         seed //= len(parts)
-    return out.upper() if like.isupper() and len(like) > 1 else out.capitalize() if like[:1].isupper() else out
+    return out
+
+
+def _cased(word: str, like: str) -> str:
+    """The word in the letter case of ``like``."""
+    return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
+
+
+def gender_of(given: str, told: dict[str, str] | None = None) -> str:
+    """f or m of a folded given name: what titles in the corpus say, else the list, else the ending."""
+    return (told or {}).get(given) or ("f" if given in WOMEN or (given.endswith("a") and given not in MEN_IN_A) else "m")
+
+
+def other_names(given: frozenset[str], key: str, told: dict[str, str] | None = None) -> dict[str, str]:
+    """Another given name of the same gender for each, none for two: a keyed turn of each gender's names. A name alone in its gender stays out."""
+    out = {}
+    for gender in "fm":
+        own = sorted((g for g in given if g.isascii() and gender_of(g, told) == gender), key=lambda g: _draw(key, "given", g))
+        out |= {a: b for a, b in zip(own, [*own[1:], *own[:1]]) if a != b}
+    return out
+
+
+class Person(NamedTuple):
+    """A mention of a name in its parts, folded: given name (full form), initial, and the tokens of the family name."""
+
+    given: str
+    initial: str
+    family: str
 
 
-def surrogate(kind: str, value: str, key: str, given: tuple[str, ...], salt: int = 0) -> str:
-    """A replacement of the same type and format, drawn by the key from the entity's folded form."""
-    who = fold(value)
+def person_of(value: str, given: frozenset[str]) -> Person:
+    """The person a mention names, with initial only where the given name is not written."""
+    family, first, initial, _, kind = parse_name(value, given)
+    return Person(first if kind == "full" else "", initial, family)
+
+
+def atoms_of(kind: str, value: str, given: frozenset[str]) -> list[str]:
+    """What of an entity is replaced as one thing wherever it stands: words of family names, mail addresses and places, and whole numbers."""
     if kind in ("phone", "id_number"):
-        draw = _draw(key, kind, who, salt)
-        out = []
-        for i, c in enumerate(value):
-            draw, take = divmod(draw, 26) if draw else (_draw(key, kind, who, salt, i), 7)
-            out.append(str(take % 10) if c.isdigit() and not (kind == "phone" and value[0] in "+0" and i < 3) else chr(65 + take) if c.isupper() else c)
-        return "".join(out)
+        return [f"{kind}:{''.join(c for c in value if c.isalnum()).upper()}"]
+    words = [fold(m.group()) for m in _LETTERS.finditer(value)]
     if kind == "name":
-        seat = 0
+        return sorted({f"word:{w}" for w in words if len(w) > 1 and w not in given and w not in PARTICLES and w not in SUFFIXES})
+    if kind == "email":
+        return sorted({f"word:{w}" for w in words if len(w) > 1 and w not in given and w not in _DOTS})
+    return sorted({f"word:{w}" for w in words if len(w) > 1 and w not in _KEEP})
+
+
+def made_up(atom: str, key: str, salt: int) -> str:
+    """The surrogate of an atom, drawn by the key."""
+    kind, _, value = atom.partition(":")
+    draw = _draw(key, atom, salt)
+    if kind == "word":
+        return _word(value, draw)
+    out = []
+    for i, c in enumerate(value):
+        draw, take = divmod(draw, 26) if draw else (0, _draw(key, atom, salt, i) % 26)
+        out.append(c if kind == "phone" and i < KEPT_DIGITS else str(take % 10) if c.isdigit() else chr(65 + take) if c.isalpha() else c)
+    return "".join(out)
+
+
+def shifted(digits: str, key: str) -> str:
+    """Another number of as many digits, with a zero at its start only if there was one; different numbers stay different."""
+    low = 0 if digits[0] == "0" else 10 ** (len(digits) - 1)
+    size = 10 ** (len(digits) - 1) if digits[0] == "0" else 9 * low
+    turn = 1 + _draw(key, "number", len(digits)) % max(1, size - 1)
+    return str(low + (int(digits) - low + turn) % size).zfill(len(digits))
+
+
+def rendered(kind: str, value: str, atoms: dict[str, str], names: dict[str, str], who: str, key: str) -> str:
+    """The entity with its atoms replaced, in its own format and letter case. ``who`` is the given name that an initial stands for, if known."""
+    word = lambda token: _cased(atoms.get(f"word:{fold(token)}", token.lower()), token)
+    if kind in ("phone", "id_number"):
+        new = iter(next(iter(atoms.values())))
+        return "".join((x if c.isupper() or c.isdigit() else x.lower()) if c.isalnum() and (x := next(new)) else c for c in value)
+    if kind == "name":
+        first = True
 
         def swap(m: regex.Match) -> str:
-            nonlocal seat
-            token = m.group()
-            seat += 1
-            if token.lower() in PARTICLES or token.lower() == "jr":
+            nonlocal first
+            token, low = m.group(), fold(m.group())
+            if low in PARTICLES or low in SUFFIXES:
                 return token
             if len(token) == 1:
-                return chr(65 + _draw(key, "initial", who, token, salt) % 26)
-            seed = _draw(key, "name", who, fold(token), salt)
-            if fold(token) in given:  # another given name of the same ending, which mostly tells the gender
-                peers = [g for g in given if g.isascii() and (g[-1] == "a") == (fold(token)[-1] == "a") and g != fold(token)]
-                if peers and not regex.search(r"[\p{Han}\p{Cyrillic}]", token):
-                    pick = peers[seed % len(peers)]
-                    return pick.upper() if token.isupper() else pick.capitalize()
-            return _word(token, seed)
-
-        return regex.sub(r"[\p{L}\p{M}'’]+", swap, value)
+                out = names.get(who, "")[:1].upper() if first and names.get(who) else chr(65 + _draw(key, "initial", low) % 26)
+                first = False
+                return out if token.isupper() else out.lower()
+            if f"word:{low}" in atoms:
+                return word(token)
+            first = False
+            full = fold(NICKNAMES.get(low, low))
+            return _cased(names.get(full, names.get(low, _word(low, _draw(key, "given", low)))), token)
+
+        return _LETTERS.sub(swap, value)
+    digits = lambda m: shifted(m.group(), key)
     if kind == "email":
-        cut = regex.search(r"[@＠]|\s?[\[({](?i:at|@|arroba|ät)[\])}]\s?|\s(?i:at)\s", value)
-        local = value[: cut.start()] if cut else value
-        rest = value[cut.start() :] if cut else ""
-        made = regex.sub(r"\p{L}+|\d+", lambda m: _word(m.group(), _draw(key, kind, who, m.group(), salt)) if m.group().isalpha() else str(_draw(key, kind, who, m.group(), salt) % 10 ** len(m.group())).zfill(len(m.group())), local)
-        return made + rest
-    return regex.sub(r"\d+|\p{Lu}[\p{L}'’]+(?!\p{L})", lambda m: m.group() if fold(m.group()) in _KEEP else _word(m.group(), _draw(key, kind, who, m.group(), salt)) if m.group()[0].isalpha() else str(1 + _draw(key, kind, who, m.group(), salt) % (10 ** len(m.group()) - 1)).zfill(len(m.group())), value)
+        at = _AT.search(value)
+        local, sign, domain = (value[: at.start()], at.group(), value[at.end() :]) if at else (value, "", "")
+        token = lambda m: _cased(names[fold(m.group())], m.group()) if fold(m.group()) in names else m.group() if fold(m.group()) in _DOTS or len(m.group()) == 1 else word(m.group())
+        last = max((m.start() for m in _LETTERS.finditer(domain)), default=len(domain))
+        made = regex.sub(r"\d+", digits, _LETTERS.sub(token, local))
+        return made + sign + regex.sub(r"\d+", digits, _LETTERS.sub(lambda m: m.group() if m.start() == last else token(m), domain))
+    return regex.sub(r"\d+", digits, _LETTERS.sub(lambda m: word(m.group()) if f"word:{fold(m.group())}" in atoms else m.group(), value))
+
 
+def distinct_surrogates(atoms: DataFrame, key: str) -> DataFrame:
+    """(atom, new): one surrogate for each distinct atom, no two alike and none that is itself an atom: those that are alike are drawn again until none is."""
 
-_KEEP = frozenset("flat apt apartment unit suite street road lane terrace avenue court drive way square place box calle avenida camino plaza paseo postfach p o".split())
+    @F.pandas_udf(T.StringType())
+    def make(atom: pd.Series, salt: pd.Series) -> pd.Series:
+        return pd.Series([made_up(a, key, int(s)) for a, s in zip(atom, salt)], dtype=object)
+
+    each = cut_lineage(atoms.select("atom").distinct().withColumn("salt", F.lit(0)).withColumn("new", make("atom", F.lit(0))))
+    kind = F.substring_index("atom", ":", 1)
+    taken = each.select(F.col("atom").alias("taken"))
+    while True:
+        seat = F.row_number().over(Window.partitionBy(kind, "new").orderBy("atom"))
+        placed = each.withColumn("seat", seat).join(taken, F.concat(kind, F.lit(":"), F.col("new")) == F.col("taken"), "left")
+        again = (F.col("seat") > 1) | F.col("taken").isNotNull()
+        step = F.when(F.col("taken").isNotNull(), 1).otherwise(F.col("seat") - 1)
+        placed = cut_lineage(placed.select("atom", "new", F.when(again, F.col("salt") + step).otherwise(F.col("salt")).alias("salt"), again.alias("again")))
+        if placed.filter("again").isEmpty():
+            return placed.select("atom", "new")
+        each = placed.select("atom", "salt", F.when(F.col("again"), make("atom", "salt")).otherwise(F.col("new")).alias("new"))
+
+
+def told_genders(texts: DataFrame, text: str, given: frozenset[str]) -> dict[str, str]:
+    """The gender of given names that stand after a title more often of one gender than of the other: bounded by the given names."""
+    pattern = rf"(?i)\b({'|'.join(w for words in TITLES.values() for w in words)})\b\.?\s+(\p{{Lu}}[\p{{L}}'-]+)"
+    pairs = F.arrays_zip(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(1)).alias("t"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(2)).alias("n"))
+    seen = texts.select(F.explode(pairs).alias("p")).select(F.lower("p.t").isin(*TITLES["f"]).alias("f"), F.lower("p.n").alias("n"))
+    counts = seen.groupBy("n").agg(F.count_if(F.col("f")).alias("f"), F.count_if(~F.col("f")).alias("m")).filter("f <> m").filter(F.col("n").isin(*sorted(given)))
+    return {fold(r["n"]): "f" if r["f"] > r["m"] else "m" for r in counts.toLocalIterator()}
+
+
+def surrogates(spans: DataFrame, given: frozenset[str], key: str, told: dict[str, str] | None = None) -> DataFrame:
+    """(k, kind, value, new): the replacement of each entity (k, kind, value) of each document.
+
+    A person keeps one surrogate under every spelling, order and letter case: family names are replaced word by word, given
+    names by another of the same gender, and an initial is that of the given name it stands for: of the one person in the
+    document whom it fits, else of the one in the corpus. Mail addresses take the surrogates of the names in them,
+    and their domain is replaced but for its last label. Numbers are the same under every format. No two words or
+    numbers share a surrogate, and house numbers are shifted by the key, so different entities stay different.
+    """
+    known = given | {fold(n) for n in NICKNAMES} | {fold(n) for n in NICKNAMES.values()}
+    names = other_names(known, key, told)
 
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def atoms(kind: pd.Series, value: pd.Series) -> pd.Series:
+        return pd.Series([atoms_of(k, v, known) for k, v in zip(kind, value)], dtype=object)
 
-def surrogates(found: DataFrame, given: frozenset[str], key: str, rounds: int = 3) -> DataFrame:
-    """(kind, value, surrogate): one surrogate for each distinct entity, no two alike."""
-    usual = tuple(sorted(given))
+    @F.pandas_udf(T.StructType([T.StructField(c, T.StringType()) for c in Person._fields]))
+    def person(value: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([person_of(v, known) for v in value], columns=Person._fields)
 
     @F.pandas_udf(T.StringType())
-    def make(kind: pd.Series, value: pd.Series, salt: pd.Series) -> pd.Series:
-        one = functools.lru_cache(100_000)(lambda k, v, s: surrogate(k, v, key, usual, s))
-        return pd.Series([one(k, v, int(s)) for k, v, s in zip(kind, value, salt)], dtype=object)
-
-    each = found.select("kind", "value").distinct().withColumn("salt", F.lit(0)).withColumn("surrogate", make("kind", "value", "salt"))
-    for _ in range(rounds):
-        seat = F.row_number().over(Window.partitionBy("kind", "surrogate").orderBy("value")) - 1
-        each = cut_lineage(each.withColumn("seat", seat))
-        moved = each.filter("seat > 0").withColumn("salt", F.col("salt") + F.col("seat")).withColumn("surrogate", make("kind", "value", "salt"))
-        each = each.filter("seat = 0").drop("seat").unionByName(moved.drop("seat"))
-    return each.select("kind", "value", "surrogate")
+    def render(kind: pd.Series, value: pd.Series, pairs: pd.Series, who: pd.Series) -> pd.Series:
+        return pd.Series([rendered(k, v, {p["atom"]: p["new"] for p in ps} if ps is not None else {}, names, w or "", key) for k, v, ps, w in zip(kind, value, pairs, who)], dtype=object)
+
+    mentions = spans.select("k", "kind", "value").distinct()
+    values = cut_lineage(mentions.select("kind", "value").distinct().withColumn("atoms", atoms("kind", "value")))
+    each = values.select("kind", "value", F.explode("atoms").alias("atom"))
+    drawn = each.join(distinct_surrogates(each, key), "atom").groupBy("kind", "value").agg(F.collect_list(F.struct("atom", "new")).alias("pairs"))
+    people = cut_lineage(mentions.filter("kind = 'name'").withColumn("p", person("value")).select("k", "value", "p.*"))
+    only = F.when(F.min("given") == F.max("given"), F.min("given"))
+    full = people.filter("given <> ''")
+    here = full.groupBy("k", "family", "initial").agg(only.alias("here"))
+    anywhere = full.groupBy("family", "initial").agg(only.alias("anywhere"))
+    who = people.filter("given = ''").join(here, ["k", "family", "initial"], "left").join(anywhere, ["family", "initial"], "left").select("k", F.lit("name").alias("kind"), "value", F.coalesce("here", "anywhere").alias("who"))
+    out = mentions.join(drawn, ["kind", "value"], "left").join(who, ["k", "kind", "value"], "left")
+    return out.select("k", "kind", "value", render("kind", "value", "pairs", "who").alias("new"))
 
 
 @F.pandas_udf(T.StringType())
@@ -377,6 +497,7 @@ def pseudonymise(documents: DataFrame, given: frozenset[str], secret: str, key:
     if style == "placeholder":
         new = spans.withColumn("new", F.concat(F.lit("["), F.upper("kind"), F.lit("]")))
     else:
-        new = spans.join(surrogates(spans, given, secret).withColumnRenamed("surrogate", "new"), ["kind", "value"])
+        told = told_genders(documents.filter(F.col(text).isNotNull()), text, given)
+        new = spans.join(surrogates(spans, given, secret, told), ["k", "kind", "value"])
     lists = new.groupBy("k").agg(F.collect_list(F.struct("start", "end", "new")).alias("spans"))
     return found.join(lists, F.col(key) == F.col("k"), "left").select(key, _spliced(text, "spans").alias(text))

@@ -373,9 +373,32 @@ def test_signs_lose_nothing():
         assert d.find(text) == d.find(text, signs=False), text
 
 
-def test_surrogates_are_distinct_and_stable(spark):
-    each = [("name", f"Ana Fam{chr(97 + i)}{chr(97 + j)}o") for i in range(12) for j in range(12)] + [("phone", f"+49 30 23125 {k}") for k in range(100, 200)]
-    df = spark.createDataFrame([*each, each[0]], "kind string, value string")
-    got = {(r.kind, r.value): r.surrogate for r in personal.surrogates(df, frozenset({"ana", "eva", "ida"}), "key").collect()}
-    assert len(got) == len(each) and len(set(got.items())) == len(set((k[0], v) for k, v in got.items()))
-    assert personal.surrogate("name", "ANA FAMO", "key", ("ana", "eva")) == personal.surrogate("name", "Ana Famo", "key", ("ana", "eva")).upper()
+def test_surrogates_are_distinct(spark):
+    each = [(1, "name", f"Ana Fam{chr(97 + i)}{chr(97 + j)}o") for i in range(12) for j in range(12)] + [(1, "phone", f"+49 30 23125 {k}") for k in range(100, 200)] + [(1, "email", f"u{k}@inst.example") for k in range(90)]
+    df = spark.createDataFrame([*each, each[0]], "k long, kind string, value string")
+    got = {(r.kind, r.value): r.new for r in personal.surrogates(df, frozenset({"ana", "eva", "ida"}), "key").collect()}
+    assert len(got) == len(each) == len(set(got.values())) and not set(got.values()) & {v for _, _, v in each}
+
+
+def test_a_person_keeps_one_surrogate(spark):
+    given_names = frozenset("john paul mark mary ana ida".split())
+    rows = [
+        (1, "name", "John Smithson"), (1, "name", "J. Smithson"), (1, "name", "Smithson, John"), (1, "name", "SMITHSON, JOHN"), (2, "name", "Smithson, J."), (2, "name", "Mary Smithson"), (3, "name", "Ana de la Roe"), (3, "email", "ana.roe@roe-family.org"),
+        (3, "email", "ana.roe [at] roe-family [dot] org"), (4, "phone", "+49 30 23125 203"), (4, "phone", "+49-30-23125-203"), (4, "id_number", "H5762423"), (5, "address", "Flat 8, 61 Old Mill Road, East Tarn 06585"), (6, "address", "12 Old Mill Road, East Tarn 06585"),
+    ]
+    got = {(r.k, r.value): r.new for r in personal.surrogates(spark.createDataFrame(rows, "k long, kind string, value string"), given_names, "key").collect()}
+    first, family = got[1, "John Smithson"].split()
+    assert first.lower() in {"paul", "mark"} or personal.gender_of(first.lower()) == "m"
+    assert got[1, "J. Smithson"] == f"{first[0]}. {family}" and got[1, "Smithson, John"] == f"{family}, {first}" and got[1, "SMITHSON, JOHN"] == f"{family}, {first}".upper()
+    assert got[2, "Mary Smithson"].split()[1] == family and personal.gender_of(got[2, "Mary Smithson"].split()[0].lower()) == "f"
+    ana, de, la, roe = got[3, "Ana de la Roe"].split()
+    assert (de, la) == ("de", "la") and "Roe" not in roe
+    local, domain = got[3, "ana.roe@roe-family.org"].split("@")
+    assert local == f"{ana}.{roe}".lower() and domain.endswith(".org") and "roe" not in domain and "family" not in domain
+    assert got[3, "ana.roe [at] roe-family [dot] org"] == f"{local} [at] {domain.removesuffix('.org')} [dot] org"
+    one, two = got[4, "+49 30 23125 203"], got[4, "+49-30-23125-203"]
+    assert one != "+49 30 23125 203" and one.startswith("+49 ") and one.replace(" ", "-") == two
+    assert got[4, "H5762423"] != "H5762423" and got[4, "H5762423"][0].isalpha() and got[4, "H5762423"][1:].isdigit()
+    a, b = got[5, rows[12][2]], got[6, rows[13][2]]
+    assert a.startswith("Flat ") and " Road, " in a and a.split(" Road, ")[1].rsplit(" ", 1)[0] == b.split(" Road, ")[1].rsplit(" ", 1)[0] != "East Tarn"
+    assert personal.surrogates(spark.createDataFrame([], "k long, kind string, value string"), given_names, "key").count() == 0

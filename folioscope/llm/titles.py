@@ -116,15 +116,6 @@ def shaped(df: DataFrame, column: str, usual: frozenset[str]) -> DataFrame:
     return df.withColumn("__shape", shape(F.col(column))).select(*df.columns, "__shape.*")
 
 
-def with_grams(df: DataFrame, usual: frozenset[str], size: int = 5) -> DataFrame:
-    """``df`` with grams: hashes of each run of ``size`` content words, of a short title as a whole, and of each unusual word."""
-    n = F.size("tokens")
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice("tokens", i, size), " ")))
-    known = F.array(*[F.lit(w) for w in sorted(usual)]) if usual else F.array().cast("array<string>")
-    rare = F.transform(F.filter(F.array_except("tokens", known), lambda w: F.length(w) > 4), lambda w: F.xxhash64(F.lit("word"), w))
-    return df.withColumn("grams", F.when(n > 0, F.array_distinct(F.concat(runs, rare))).otherwise(F.array().cast("array<bigint>")))
-
-
 def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
 

@@ -174,35 +174,48 @@ def key_candidates(left: DataFrame, right: DataFrame, key: str, other: str) -> D
     return a.join(b, "__k").select(key, other).distinct()
 
 
-@functools.lru_cache(1 << 18)
-def _misspelt(word: str, mate: str) -> bool:
-    """Whether two words differ by a few typing errors; what cannot be is told by lengths and letters."""
-    least = min(len(word), len(mate))
-    limit = 0 if least < 4 else 1 if least < 5 else 2 if least < 12 else 3
-    if abs(len(word) - len(mate)) > limit or not limit:
-        return False
+@functools.lru_cache(1 << 15)
+def _misspelt(word: str, mate: str, limit: int) -> bool:
+    """Whether two words differ by at most ``limit`` typing errors."""
     letters = Counter(word)
     letters.subtract(mate)
     return sum(abs(n) for n in letters.values()) <= 2 * limit and edit_distance(word, mate) <= limit
 
 
+@functools.lru_cache(1 << 16)
+def _letters(word: str) -> int:
+    """The set of a word's characters as bits; an error changes two at most."""
+    return functools.reduce(lambda bits, c: bits | 1 << ord(c) % 64, word, 0)
+
+
+def _like(word: str, mate: str) -> bool:
+    """Whether two words differ by a few typing errors; what cannot be is told by lengths and sets of letters."""
+    least = min(len(word), len(mate))
+    limit = 0 if least < 4 else 1 if least < 5 else 2 if least < 12 else 3
+    return limit > 0 and abs(len(word) - len(mate)) <= limit and (_letters(word) ^ _letters(mate)).bit_count() <= 2 * limit and _misspelt(word, mate, limit)
+
+
 def likeness(a: list[str], b: list[str]) -> tuple[float, str]:
     """How much two titles say the same, and how they relate: same, prefix, or other."""
-    rest_a, rest_b = list((Counter(a) - Counter(b)).elements()), list((Counter(b) - Counter(a)).elements())
+    rest_a, rest_b = list(a), []
+    for word in b:
+        if word in rest_a:
+            rest_a.remove(word)
+        else:
+            rest_b.append(word)
     same = len(a) - len(rest_a)
     for word in list(rest_a):
-        for mate in rest_b:
-            if _misspelt(word, mate):
-                rest_a.remove(word)
-                rest_b.remove(mate)
-                same += 1
-                break
+        mate = next((m for m in rest_b if _like(word, m)), None)
+        if mate is not None:
+            rest_a.remove(word)
+            rest_b.remove(mate)
+            same += 1
     total = max(len(a) + len(b) - same, 1)
     score = same / total
     if not rest_a and not rest_b:
         return score, "same"
     short, long, rest = (a, b, rest_a) if len(a) <= len(b) else (b, a, rest_b)
-    if len(short) >= 3:
+    if len(short) >= 3 and sum(w != short[-1] for w in rest) <= 1:
         head = long[: len(short)]
         if len(short) > 3 and len(short[-1]) < 4 and not head[-1].startswith(short[-1]):  # the rest of a word that does not count
             short, head, rest = short[:-1], head[:-1], [w for w in rest if w != short[-1]]

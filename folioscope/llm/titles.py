@@ -235,6 +235,9 @@ def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([likeness(x.split(), y.split()) for x, y in zip(a, b)], columns=JUDGED.names)
 
 
+judge = judge.asNondeterministic()  # else Spark pushes filters on its result below it and compares each pair twice
+
+
 def judged(pairs: DataFrame, a: str, b: str, least: float = 0.6) -> DataFrame:
     """The pairs that share ``least`` of the words of the shorter title, misspelt words counted, with their likeness in ``j``."""
     near = pairs.withColumn("j", judge(F.array_join(a, " "), F.array_join(b, " ")))

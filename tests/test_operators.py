@@ -137,12 +137,54 @@ def test_stream_keeps_what_the_batch_keeps(spark, tmp_path):
 
 
 def test_title_match_needs_one_shared_run(spark, tmp_path):
-    from folioscope.plans.ordinal_queries import QUERIES
+    from folioscope.plans import registry
 
     schema = "id long, title string, year int"
     train = [(1, "Datalog", 2020), (2, "Lazy hex solving", 2020), (3, "exact counting of metric aggregates in tramways", 2020), (4, "", 2020), (5, None, 2020)]
     spark.createDataFrame(train, schema).write.parquet(f"{tmp_path}/train.parquet")
     tests = [(1, "datalog", 2020), (2, "lazy hex solving", 2020), (3, "exact counting of metric aggregates in tramways".replace("metric", "metrics"), 2020), (4, "", 2020), (5, None, 2020)]
     spark.createDataFrame(tests, schema).write.parquet(f"{tmp_path}/public_test.parquet")
-    got = {r.id: (r.train_id, r.found) for r in QUERIES["x1_x3_title_match"](spark, str(tmp_path)).collect()}
+    got = {r.id: (r.train_id, r.found) for r in registry.queries()["x1_x3_title_match"](spark, str(tmp_path)).collect()}
     assert got == {1: (1, True), 2: (2, True), 3: (3, True)}
+
+
+def test_quantiles_and_ranks_against_brute_force(spark):
+    import random
+
+    import numpy as np
+
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "b", None]), rng.choice([None, float(rng.randint(0, 30)), rng.random()])) for _ in range(700)] + [("c", 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    for g, q, m in ranking.quantiles(df, "v", {"q": 0.2, "m": 0.5}, ["g"]).collect():
+        own = [v for x, v in rows if x == g and v is not None]
+        assert abs(q - np.quantile(own, 0.2)) < 1e-9 and abs(m - np.median(own)) < 1e-9
+    for g, v, pct in ranking.percentile_rank(df, "v", ["g"], "pct").collect():
+        own = [x for y, x in rows if y == g and x is not None]
+        want = None if v is None else (sum(x < v for x in own) + (sum(x == v for x in own) + 1) / 2) / len(own)
+        assert (pct is None) == (want is None) and (pct is None or abs(pct - want) < 1e-9)
+    assert ranking.quantiles(df.limit(0), "v", {"m": 0.5}, ["g"]).count() == 0
+    placed = ranking.report_position(spark.range(500).selectExpr("id", "id % 7 as k"), [F.desc("k"), F.col("id")]).collect()
+    assert [r.id for r in sorted(placed, key=lambda r: r.position)] == [i for _, i in sorted((-(i % 7), i) for i in range(500))]
+
+
+def test_files_and_score_families(spark, tmp_path):
+    import numpy as np
+    import pytest
+
+    from folioscope.sources import cache
+
+    np.save(tmp_path / "m.npy", np.arange(12, dtype=np.float32).reshape(4, 3))
+    got = {r.row: list(r.embedding) for r in cache.read_npy(spark, str(tmp_path), 3).collect()}
+    assert got == {i: [3.0 * i, 3.0 * i + 1, 3.0 * i + 2] for i in range(4)}
+    df = spark.createDataFrame([(1, 0.5), (2, float("nan"))], "id long, score double")
+    assert cache.score_family(df.filter("id = 1"), "id", ["oof", "score"], "s").collect()[0].s == 0.5
+    with pytest.raises(Exception, match="NaN"):
+        cache.score_family(df, "id", ["oof", "score"], "s").collect()
+    with pytest.raises(ValueError, match="none of the columns"):
+        cache.resolved(df, ["oof"])
+    for label in (1, 2):
+        cache.replace_csv(spark.createDataFrame([(label,)], "label int"), str(tmp_path / "t"))
+    assert [r.label for r in cache.read_csv(spark, str(tmp_path / "t"), spark.createDataFrame([], "label int").schema).collect()] == [2]
+    cache.write_report(df.select("id"), str(tmp_path / "r"), "Ids", "json")
+    assert sorted(r.value for r in spark.read.text(str(tmp_path / "r")).collect()) == ['{"id":1}', '{"id":2}']

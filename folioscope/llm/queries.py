@@ -56,11 +56,19 @@ def p4_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.merged_papers(*_crawls(spark, sf_dir))
 
 
+def _persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    papers = table(spark, sf_dir, "train", "id", "venue").select("id", splits.series_key("venue").alias("key"))
+    return names.people(_mentions(spark, sf_dir), papers)[0]
+
+
+def p5_persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(name, person): each spelling with the person it names."""
+    return names.persons_of(_persons(spark, sf_dir))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(name_a, name_b): different spellings of one person."""
-    papers = table(spark, sf_dir, "train", "id", "venue").select("id", splits.series_key("venue").alias("key"))
-    persons, _, _ = names.people(_mentions(spark, sf_dir), papers)
-    return names.variant_pairs(persons)
+    return names.variant_pairs(_persons(spark, sf_dir))
 
 
 def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,5 +132,5 @@ def p10_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.pseudonymise(table(spark, sf_dir, "documents", "doc_id", "text"), _given(spark, sf_dir), "folioscope", style="placeholder")
 
 
-QUERIES = {"p10_found": p10_found, "p10_masked": p10_masked, "p10_text": p10_text, "p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
+QUERIES = {"p10_found": p10_found, "p10_masked": p10_masked, "p10_text": p10_text, "p1_found": p1_found, "p1_split": p1_split, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_papers": p4_papers, "p5_found": p5_found, "p5_persons": p5_persons, "p6_found": p6_found, "p6_report": p6_report, "p7_found": p7_found, "p8_ids": p8_ids, "p9_found": p9_found, "p9_leaks": p9_leaks}
 ORACLES: dict[str, str] = {}

@@ -216,10 +216,14 @@ def _windows(spots: list[tuple[int, int]], before: int, after: int, size: int) -
         yield lo, hi
 
 
-# Mail addresses, plain and disguised, and given names or initials beside a family name, in the syntax of the JVM.
-_MASKED = r"(?i)[\p{L}\d._+-]+(?:[@＠]|\s?[\[({](?:at|@|arroba|ät)[\])}]\s?|\sat\s(?=\S+\sdot\s))[\p{L}\d-]+(?:(?:\.|\s?[\[({](?:dot|punkt|point|punto)[\])}]\s?|\sdot\s)[\p{L}\d-]+)*"
-_BESIDE = r"(?<![\p{L}'-])(\p{Lu}[\p{L}']+|\p{Lu}\.)\s(?:\p{Lu}\.\s?)*(?:(?:de la|van der|von der|van|von|de|di|du|del|der)\s)*(?=(\p{Lu}[\p{L}']+))"
-_TURNED = r"(?<![\p{L}'-])(\p{Lu}[\p{L}']+),\s(\p{Lu}[\p{L}']+|\p{Lu}\.)"
+# Mail addresses, plain and disguised, and given names or initials beside a family name, in the syntax of the JVM. A mail
+# address begins where a run of its characters begins or the last match ended; a run is never tried in part.
+_RUN = r"\p{L}\d._+-"
+_MASKED = rf"(?:\G|(?<![{_RUN}]))[{_RUN}]++(?:[@＠]|\s?[\[({{](?i:at|@|arroba|ät)[\])}}]\s?|\s(?i:at)\s(?=\S+\s(?i:dot)\s))[\p{{L}}\d-]+(?:(?:\.|\s?[\[({{](?i:dot|punkt|point|punto)[\])}}]\s?|\s(?i:dot)\s)[\p{{L}}\d-]+)*"
+_MAIL_SIGN = r"[@＠]|[\[({](?i:at|arroba|ät)[\])}]|\s(?i:at)\s\S+\s(?i:dot)\s"
+_BEFORE = r"(?:\p{Lu}[\p{L}']+|\p{Lu}\.)\s(?:\p{Lu}\.\s?)*(?:(?:de la|van der|von der|van|von|de|di|du|del|der)\s)*"
+_BESIDE = rf"(?=\p{{Lu}})(?<![\p{{L}}'-])(?=({_BEFORE}\p{{Lu}}[\p{{L}}']+)){_BEFORE}(?=\p{{Lu}}[\p{{L}}'])"
+_TURNED = r"(?=\p{Lu})(?<![\p{L}'-])\p{Lu}[\p{L}']+,\s(?:\p{Lu}[\p{L}']+|\p{Lu}\.)"
 
 
 def word_lists(texts: DataFrame, text: str, given: frozenset[str] = frozenset()) -> tuple[frozenset[str], frozenset[str], frozenset[str]]:
@@ -230,16 +234,20 @@ def word_lists(texts: DataFrame, text: str, given: frozenset[str] = frozenset())
     """
     texts = texts.select(text).distinct()
     rows = texts.count()
-    spaced = F.regexp_replace(F.regexp_replace(F.col(text), _MASKED, " "), "’", "'")
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(spaced, F.lit(r"[\p{L}][\p{L}']*"), F.lit(0)))).alias("w")).filter(F.length("w") > 1)
-    counts = words.groupBy("w").agg(F.count("*").alias("n"))
-    by = counts.groupBy(F.lower("w").alias("low")).agg(F.sum(F.when(F.col("w") == F.lower("w"), F.col("n")).otherwise(0)).alias("small"), F.sum("n").alias("n"))
-    kept = by.filter((F.col("small") >= max(5, rows / 5000)) | (F.col("n") >= max(20, rows / 200)))
-    first, last = F.regexp_extract_all(spaced, F.lit(_BESIDE), F.lit(1)), F.regexp_extract_all(spaced, F.lit(_BESIDE), F.lit(2))
-    turned, mate = F.regexp_extract_all(spaced, F.lit(_TURNED), F.lit(2)), F.regexp_extract_all(spaced, F.lit(_TURNED), F.lit(1))
-    beside = F.transform(F.filter(F.concat(F.arrays_zip(first.alias("g"), last.alias("w")), F.arrays_zip(turned.alias("g"), mate.alias("w"))), lambda p: p.g.endswith(".") | F.lower(p.g).isin(*sorted(given))), lambda p: F.lower(p.w))
-    named = texts.select(F.explode(F.array_distinct(beside)).alias("low")).groupBy("low").agg(F.count("*").alias("named"))
-    kept = kept.join(named, "low", "left").filter(F.coalesce("named", F.lit(0)) * 2 < F.greatest(F.lit(3), F.col("n") - F.col("small")))
+    # one pass: each text is masked once, and its words and named families are counted together
+    masked = F.when(F.col(text).rlike(_MAIL_SIGN), F.regexp_replace(F.col(text), _MASKED, " ")).otherwise(F.col(text))
+    spaced = texts.select(F.translate(masked, "’", "'").alias("s"))
+    words = F.array_distinct(F.regexp_extract_all("s", F.lit(r"\p{L}[\p{L}']+"), F.lit(0)))
+    before = F.transform(F.regexp_extract_all("s", F.lit(_BESIDE), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, r"^\S+", 0).alias("g"), F.regexp_extract(x, r"[\p{L}']+$", 0).alias("w")))
+    after = F.transform(F.regexp_extract_all("s", F.lit(_TURNED), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, r"\S+$", 0).alias("g"), F.substring_index(x, ",", 1).alias("w")))
+    beside = F.array_distinct(F.transform(F.filter(F.concat(before, after), lambda p: p.g.endswith(".") | F.lower(p.g).isin(*sorted(given))), lambda p: F.lower(p.w)))
+    seen = F.concat(
+        F.transform(words, lambda w: F.struct(F.lower(w).alias("low"), (w == F.lower(w)).alias("small"), F.lit(False).alias("beside"))),
+        F.transform(beside, lambda w: F.struct(w.alias("low"), F.lit(False).alias("small"), F.lit(True).alias("beside"))),
+    )
+    counts = spaced.select(F.inline(seen)).groupBy("low").agg(F.count_if("small").alias("small"), F.count_if(~F.col("beside")).alias("n"), F.count_if("beside").alias("named"))
+    kept = counts.filter((F.col("small") >= max(5, rows / 5000)) | (F.col("n") >= max(20, rows / 200)))
+    kept = kept.filter(F.col("named") * 2 < F.greatest(F.lit(3), F.col("n") - F.col("small")))
     common, frequent = set(), set()
     for r in kept.toLocalIterator():
         (common if r["small"] >= max(5, rows / 5000) else frequent).add(r["low"])

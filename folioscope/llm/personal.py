@@ -41,7 +41,7 @@ _STREETS = (
     rf"(?:{_ES}\s(?:[\p{{L}}'’-]+\s){{1,5}}{_N}|{_BOX}),\s(?P<head>\d{{5}})\s(?P<tail>{_CAP}(?:\s{_CAP}){{0,2}})",
 )
 _LABEL = r"[\p{L}\d](?:[\p{L}\d-]*[\p{L}\d])?"
-_LOCAL = r"(?<![\p{L}\d._+-])[\p{L}\d][\p{L}\d._+-]*"
+_LOCAL = r"(?<![\p{L}\d._+-])[\p{L}\d][\p{L}\d._+-]*+"
 _DOT = r"(?:\.|\s?[\[({](?i:dot|punkt|point|punto)[\])}]\s?|\s(?i:dot)\s)"
 _MAILS = (
     rf"{_LOCAL}[@＠]{_LABEL}(?:\.{_LABEL})*\.\p{{L}}{{2,}}(?![\p{{L}}\d])",
@@ -156,7 +156,8 @@ class Detector:
                 for m in pattern.finditer(text, lo, hi):
                     if 8 <= sum(c.isdigit() for c in m.group()) <= 15:
                         add("phone", m.start(), m.end())
-        hits = [m.start() for m in _WORDS.finditer(text, overlapped=True) if self.usual(m.group())] if signs else range(len(text))
+        words = _WORDS.finditer(text, overlapped=True) if _NOT_LATIN.search(text) else _LATIN_WORDS.finditer(text)
+        hits = [m.start() for m in words if self.usual(m[0])] if signs else range(len(text))
         initials = [m.start() for m in _INITIAL.finditer(text)] if signs else range(len(text))
         for at in hits:
             if (m := self.full.match(text, at)) and self.usual(m.group("given")) and self.family(m.group("family"), False) and not self.usual(m.group("family")):
@@ -186,6 +187,10 @@ _ID_SIGNS = ("ssn", "social", "passport", "passeport", "pasaporte", "card", "car
 _DIGITS = re.compile(r"[+(]?\d[\d .()/+-]{6,}\d")
 _DOT_SIGN = re.compile(r"\sdot\s")
 _WORDS = regex.compile(r"(?<![\p{L}\d.@_'’-])\p{L}[\p{L}\p{M}'’-]*")
+# The same for texts of Latin characters without marks apart from their letters, where the letters can be named by ranges.
+_LATIN = "A-Za-zªµºÀ-ÖØ-öø-\u02c1"
+_NOT_LATIN = re.compile("[^\0-\xb1\xb4-\xb8\xba\xbb\xbf-\u02c1\u2010-\u2027]")
+_LATIN_WORDS = re.compile(rf"(?<![{_LATIN}\d.@_'’-])[{_LATIN}][{_LATIN}'’-]*+")
 _INITIAL = regex.compile(r"\p{Lu}\.")
 _TURN = regex.compile(rf",\s(?:(?P<init>\p{{Lu}}\.)|(?P<given>{_CAP}))")
 
@@ -220,7 +225,7 @@ def _windows(spots: list[tuple[int, int]], before: int, after: int, size: int) -
 # address begins where a run of its characters begins or the last match ended; a run is never tried in part.
 _RUN = r"\p{L}\d._+-"
 _MASKED = rf"(?:\G|(?<![{_RUN}]))[{_RUN}]++(?:[@＠]|\s?[\[({{](?i:at|@|arroba|ät)[\])}}]\s?|\s(?i:at)\s(?=\S+\s(?i:dot)\s))[\p{{L}}\d-]+(?:(?:\.|\s?[\[({{](?i:dot|punkt|point|punto)[\])}}]\s?|\s(?i:dot)\s)[\p{{L}}\d-]+)*"
-_MAIL_SIGN = r"[@＠]|[\[({](?i:at|arroba|ät)[\])}]|\s(?i:at)\s\S+\s(?i:dot)\s"
+_MAIL_SIGN = r"[\[({](?i:at|arroba|ät)[\])}]|\s(?i:at)\s\S+\s(?i:dot)\s"
 _BEFORE = r"(?:\p{Lu}[\p{L}']+|\p{Lu}\.)\s(?:\p{Lu}\.\s?)*(?:(?:de la|van der|von der|van|von|de|di|du|del|der)\s)*"
 _BESIDE = rf"(?=\p{{Lu}})(?<![\p{{L}}'-])(?=({_BEFORE}\p{{Lu}}[\p{{L}}']+)){_BEFORE}(?=\p{{Lu}}[\p{{L}}'])"
 _TURNED = r"(?=\p{Lu})(?<![\p{L}'-])\p{Lu}[\p{L}']+,\s(?:\p{Lu}[\p{L}']+|\p{Lu}\.)"
@@ -232,31 +237,35 @@ def word_lists(texts: DataFrame, text: str, given: frozenset[str] = frozenset())
     A word that stands after an initial, or beside one of the ``given`` names, in at least half of the texts that have
     it with a capital is a family name, and is neither common nor frequent. Kept are words of at least a fixed share of the texts, so their number is bounded by words per text over share.
     """
-    texts = texts.select(text).distinct()
-    rows = texts.count()
-    # one pass: each text is masked once, and its words and named families are counted together
-    masked = F.when(F.col(text).rlike(_MAIL_SIGN), F.regexp_replace(F.col(text), _MASKED, " ")).otherwise(F.col(text))
-    spaced = texts.select(F.translate(masked, "’", "'").alias("s"))
+    # one pass: each text is masked once, and its words, named families and towns are counted together
+    signed = F.col(text).contains("@") | F.col(text).contains("＠") | F.col(text).rlike(_MAIL_SIGN)
+    masked = F.when(signed, F.regexp_replace(F.col(text), _MASKED, " ")).otherwise(F.col(text))
+    spaced = texts.select(text).distinct().select(text, F.translate(masked, "’", "'").alias("s"))
     words = F.array_distinct(F.regexp_extract_all("s", F.lit(r"\p{L}[\p{L}']+"), F.lit(0)))
     before = F.transform(F.regexp_extract_all("s", F.lit(_BESIDE), F.lit(1)), lambda x: F.struct(F.regexp_extract(x, r"^\S+", 0).alias("g"), F.regexp_extract(x, r"[\p{L}']+$", 0).alias("w")))
     after = F.transform(F.regexp_extract_all("s", F.lit(_TURNED), F.lit(0)), lambda x: F.struct(F.regexp_extract(x, r"\S+$", 0).alias("g"), F.substring_index(x, ",", 1).alias("w")))
     beside = F.array_distinct(F.transform(F.filter(F.concat(before, after), lambda p: p.g.endswith(".") | F.lower(p.g).isin(*sorted(given))), lambda p: F.lower(p.w)))
+    coded = F.concat(
+        F.regexp_extract_all(F.col(text), F.lit(r", (\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}) \d{5}\b"), F.lit(1)),
+        F.regexp_extract_all(F.col(text), F.lit(r", \d{5} (\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2})(?=[.,;)\r\n|]|$)"), F.lit(1)),
+    )
+    entry = lambda what, low, small=False: F.struct(F.lit(what).alias("what"), low.alias("low"), (F.lit(False) if small is False else small).alias("small"))
     seen = F.concat(
-        F.transform(words, lambda w: F.struct(F.lower(w).alias("low"), (w == F.lower(w)).alias("small"), F.lit(False).alias("beside"))),
-        F.transform(beside, lambda w: F.struct(w.alias("low"), F.lit(False).alias("small"), F.lit(True).alias("beside"))),
+        F.array(entry("text", F.lit(""))),
+        F.transform(words, lambda w: entry("word", F.lower(w), w == F.lower(w))),
+        F.transform(beside, lambda w: entry("beside", w)),
+        F.transform(F.array_distinct(coded), lambda t: entry("town", F.lower(t))),
     )
-    counts = spaced.select(F.inline(seen)).groupBy("low").agg(F.count_if("small").alias("small"), F.count_if(~F.col("beside")).alias("n"), F.count_if("beside").alias("named"))
+    counts = spaced.select(F.inline(seen)).groupBy("low").agg(F.count_if("small").alias("small"), *[F.count_if(F.col("what") == w).alias(c) for w, c in (("text", "rows"), ("word", "n"), ("beside", "named"), ("town", "town"))])
+    counts = cut_lineage(counts)
+    rows = counts.agg(F.sum("rows")).first()[0] or 0
     kept = counts.filter((F.col("small") >= max(5, rows / 5000)) | (F.col("n") >= max(20, rows / 200)))
     kept = kept.filter(F.col("named") * 2 < F.greatest(F.lit(3), F.col("n") - F.col("small")))
     common, frequent = set(), set()
     for r in kept.toLocalIterator():
         (common if r["small"] >= max(5, rows / 5000) else frequent).add(r["low"])
-    coded = F.concat(
-        F.regexp_extract_all(F.col(text), F.lit(r", (\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2}) \d{5}\b"), F.lit(1)),
-        F.regexp_extract_all(F.col(text), F.lit(r", \d{5} (\p{Lu}[\p{L}'-]+(?: \p{Lu}[\p{L}'-]+){0,2})(?=[.,;)\r\n|]|$)"), F.lit(1)),
-    )
-    towns = texts.select(F.explode(F.array_distinct(coded)).alias("t")).groupBy(F.lower("t").alias("t")).agg(F.count("*").alias("n")).filter(F.col("n") >= max(3, rows / 5000))
-    return frozenset(r["t"] for r in towns.toLocalIterator()), frozenset(common), frozenset(frequent | common)
+    towns = counts.filter(F.col("town") >= max(3, rows / 5000)).select("low")
+    return frozenset(r["low"] for r in towns.toLocalIterator()), frozenset(common), frozenset(frequent | common)
 
 
 def find_personal(documents: DataFrame, given: frozenset[str], key: str = "doc_id", text: str = "text") -> DataFrame:

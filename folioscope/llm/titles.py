@@ -238,6 +238,26 @@ def judge(a: pd.Series, b: pd.Series) -> pd.DataFrame:
 judge = judge.asNondeterministic()  # else Spark pushes filters on its result below it and compares each pair twice
 
 
+def may_be_one(a: str, b: str):
+    """Whether two lists of content words can be the same or one the beginning of the other in the sense of ``likeness``: false only where they cannot.
+
+    The same: equally many, and each word of one that the other lacks has a word there that lengths and twice its typing
+    errors allow, as a swap counts two letters replaced. A beginning: the words but the last two of the shorter one stand
+    in the same places.
+    """
+    x, y = F.col(a), F.col(b)
+    least = F.least(F.size(x), F.size(y))
+
+    def like(u, v):
+        short = F.least(F.length(u), F.length(v))
+        limit = F.when(short < 5, 1).when(short < 12, 2).otherwise(3)
+        return (short >= 4) & (F.abs(F.length(u) - F.length(v)) <= limit) & F.levenshtein(u, v, 6).between(0, 2 * limit)
+
+    same = (F.size(x) == F.size(y)) & F.forall(F.array_except(x, y), lambda u: F.exists(y, lambda v: like(u, v)))
+    heads = F.zip_with(F.slice(x, 1, F.greatest(least - 2, F.lit(0))), F.slice(y, 1, F.greatest(least - 2, F.lit(0))), lambda u, v: (u == v) | (F.levenshtein(u, v, 2) >= 0))
+    return same | ((least >= 3) & F.forall(heads, lambda ok: ok))
+
+
 def judged(pairs: DataFrame, a: str, b: str, least: float = 0.6) -> DataFrame:
     """The pairs that share ``least`` of the words of the shorter title, misspelt words counted, with their likeness in ``j``."""
     near = pairs.withColumn("j", judge(F.array_join(a, " "), F.array_join(b, " ")))

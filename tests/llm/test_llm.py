@@ -199,6 +199,30 @@ def test_likeness(a, b, want):
     assert titles.likeness(titles.shape_title(a)[0], titles.shape_title(b)[0])[1] == want
 
 
+def test_pairs_left_out_before_the_comparison_cannot_be_one_work(spark):
+    draw = random.Random(5)
+    words = [*("".join(draw.choice("abcd") for _ in range(draw.randint(1, 13))) for _ in range(40)), "of", "x"]
+
+    def typed(word):
+        at, kind = draw.randrange(len(word)), draw.random()
+        swapped = word[:at] + word[at + 1 : at + 2] + word[at] + word[at + 2 :]
+        return swapped if kind < 0.4 else word[:at] + word[at + 1 :] if kind < 0.6 and len(word) > 1 else word[:at] + draw.choice("abcde") + word[at + (kind < 0.8) :]
+
+    pairs = [([], []), ([], ["abcd"]), (["aabb", "aabb", "cd"], ["aabb", "abab", "cd"])]
+    for _ in range(3000):
+        one = [draw.choice(words) for _ in range(draw.randint(1, 9))]
+        two = [typed(typed(w)) if draw.random() < 0.2 else typed(w) if draw.random() < 0.3 else w for w in one]
+        two = two[: draw.randint(1, len(two))] if draw.random() < 0.4 else two
+        two = [*two[:-1], two[-1][: draw.randint(1, len(two[-1]))]] if draw.random() < 0.3 else draw.sample(two, len(two)) if draw.random() < 0.3 else two
+        pairs.append((one, two) if draw.random() < 0.5 else (two, one))
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    kept = {r.i for r in df.filter(titles.may_be_one("a", "b")).select("i").collect()}
+    needed = {i for i, (a, b) in enumerate(pairs) if a and b and titles.likeness(a, b)[1] != "other"}
+    assert len(needed) > 500 and needed <= kept
+    other = spark.createDataFrame([(["plans", "for", "agents"], ["logic", "of", "sets"])], "a array<string>, b array<string>")
+    assert other.filter(titles.may_be_one("a", "b")).count() == 0
+
+
 def test_variants_are_other_works():
     assert titles.shape_title("Lazy solving: Part II")[1] != titles.shape_title("Lazy solving: Part III")[1]
     assert titles.shape_title("Lazy solving: A Survey")[1] and not titles.shape_title("Lazy solving (short paper)")[1]
@@ -373,6 +397,24 @@ def test_signs_lose_nothing():
         assert d.find(text) == d.find(text, signs=False), text
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.sampled_from("aÉßªµ\u02c1\u02b0²¹¼×÷_@.-'’–“ \n\xa07Zé"), max_size=25))
+def test_words_of_latin_texts(text):
+    usual = [m.span() for m in personal._WORDS.finditer(text, overlapped=True)]
+    assert personal._NOT_LATIN.search(text) or [m.span() for m in personal._LATIN_WORDS.finditer(text)] == usual
+
+
+def test_word_lists_count_distinct_texts_without_mail_addresses(spark):
+    plain = [f"The weather was mild {i}, Mara Weather wrote from nil.kovac@a.b-c.org_x and kim (at) kovac [dot] org; Rimut, K. agreed." for i in range(6)]
+    rows = [*plain, *plain, *(f"{i} Mill Road, Dunford 12345" for i in range(3)), ""]
+    df = spark.createDataFrame([(t,) for t in rows], "text string")
+    towns, common, frequent = personal.word_lists(df, "text", frozenset(["mara"]))
+    assert towns == {"dunford"}
+    assert {"mild", "the", "wrote"} - common == {"the"} and "kovac" not in common and "nil" not in common and "kim" not in common
+    assert "weather" not in common and frequent == common
+    assert personal.word_lists(df.limit(0), "text") == (frozenset(), frozenset(), frozenset())
+
+
 def test_surrogates_are_distinct(spark):
     each = [(1, "name", f"Ana Fam{chr(97 + i)}{chr(97 + j)}o") for i in range(12) for j in range(12)] + [(1, "phone", f"+49 30 23125 {k}") for k in range(100, 200)] + [(1, "email", f"u{k}@inst.example") for k in range(90)]
     df = spark.createDataFrame([*each, each[0]], "k long, kind string, value string")

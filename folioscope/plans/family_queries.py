@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from folioscope.operators import ranking as rk
 from folioscope.operators.profile import domain_distribution
 from folioscope.plans.base import CUTS, PAPERS_SQL, TESTS_SQL, held_out, papers, with_folds
 from folioscope.plans.ordinal_queries import MET, P, PF, _DOI, _TF, r6
-from folioscope.session import ensure_checkpoint_dir
+from folioscope.session import cut_lineage, ensure_checkpoint_dir
 from folioscope.sources import cache
 from folioscope.sources.tables import table
 
@@ -274,13 +278,59 @@ _FIVE = (
 )
 
 
+_MARKS = 1 << 23  # bits of a filter whose size does not depend on the data
+
+
+def _marked(hashes: DataFrame) -> np.ndarray:
+    """One bit for each hash of a one-column table, by its last digits."""
+    at = F.col(hashes.columns[0]).bitwiseAND(F.lit(_MARKS - 1))
+    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))")).alias("bits"))
+    out = np.zeros(_MARKS >> 6, "int64")
+    for r in words.toLocalIterator():
+        out[r["at"]] = r["bits"]
+    return np.unpackbits(out.view("uint8"), bitorder="little").view(bool)
+
+
+def subset_sums(rows: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """For each array the sums of all its sets of one to ``most`` values; sets come in the same order in arrays of one length."""
+    out: list = [row[:0] for row in rows]
+    size = np.array([len(row) for row in rows], int)
+    for m in np.unique(size[size > 0]):
+        at = np.flatnonzero(size == m)
+        held = np.stack([rows[i] for i in at])
+        sums = np.concatenate([held[:, np.array(list(itertools.combinations(range(m), k)))].sum(2) for k in range(1, min(most, m) + 1)], 1)
+        for i, one in zip(at, sums):
+            out[i] = one
+    return out
+
+
 def search(queries: DataFrame, titles: DataFrame, most: int = 5, words: int = 3) -> DataFrame:
-    """(id, train_id, score): for each query title the ``most`` titles that share its rarest ``words``, weighted by their rarity; ties go to the smaller id."""
-    bag = lambda x: x.select("id", F.explode(F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", " ")), " "), lambda w: w != ""))).alias("w"))
-    held = bag(titles)
-    rare = rk.top_per_group(bag(queries).join(held.groupBy("w").agg(F.count("*").alias("n")), "w"), ["id"], [F.col("n"), F.col("w")], words)
-    pairs = rare.join(held.withColumnRenamed("id", "train_id"), "w").groupBy("id", "train_id").agg(F.sum(1.0 / F.col("n")).alias("s"))
-    return rk.top_per_group(pairs, ["id"], [F.desc(F.round("s", 9)), F.col("train_id")], most).select("id", "train_id", r6("s").alias("score"))
+    """(id, train_id, score): for each query title the ``most`` titles that share its rarest ``words``, weighted by their rarity; ties go to the smaller id.
+
+    The score says which of the rare words a title holds and nothing else. A title among the ``most`` best is therefore
+    among the ``most`` smallest ids that hold all the words it shares, as any other title that holds them scores no less.
+    So each set of words (the sum of their hashes) keeps that many ids, queries of the same words are searched once, and
+    no frequent word meets all its titles. Marks of the words and sets that are asked for leave out most others early.
+    """
+    parts = F.array_distinct(F.filter(F.split(F.trim(F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9]+", " ")), " "), lambda w: w != ""))
+    bag = lambda x: x.select("id", F.explode(parts).alias("w"))
+    rare = rk.top_per_group(bag(queries).join(bag(titles).groupBy("w").agg(F.count("*").alias("n")), "w"), ["id"], [F.col("n"), F.col("w")], words)
+    asked = cut_lineage(rare.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", F.xxhash64("w").alias("h")))).alias("rare")))
+    sums = lambda kind: F.pandas_udf(lambda x: pd.Series(subset_sums(list(x), words), dtype=object), f"array<{kind}>")
+    sets = asked.select("rare").distinct().select("rare", F.arrays_zip(sums("bigint")("rare.h").alias("key"), sums("double")(F.transform("rare.n", lambda n: 1.0 / n)).alias("s")).alias("sets"))
+    wanted = cut_lineage(sets.select("rare", F.inline("sets").alias("key", "s")))
+    known, sought = _marked(asked.select(F.explode("rare.h").alias("h")).distinct()), _marked(wanted.select("key").distinct())
+
+    @F.pandas_udf("array<bigint>")
+    def keys(hashes: pd.Series) -> pd.Series:
+        held = subset_sums([x[known[x & (_MARKS - 1)]] for x in hashes], words)
+        return pd.Series([x[sought[x & (_MARKS - 1)]] for x in held], dtype=object)
+
+    found = titles.select(F.col("id").alias("train_id"), F.explode(keys(F.transform(parts, lambda w: F.xxhash64(w)))).alias("key"))
+    first = rk.top_per_group(found, ["key"], [F.col("train_id")], most)
+    scored = wanted.join(first, "key").groupBy("rare", "train_id").agg(F.max("s").alias("s"))
+    best = rk.top_per_group(scored, ["rare"], [F.desc(F.round("s", 9)), F.col("train_id")], most)
+    return asked.join(best, "rare").select("id", "train_id", r6("s").alias("score"))
 
 
 @query("x4_candidates", _FIVE + " select id, train_id, score from five")

@@ -148,6 +148,32 @@ def test_title_match_needs_one_shared_run(spark, tmp_path):
     assert got == {1: (1, True), 2: (2, True), 3: (3, True)}
 
 
+def test_title_search_does_not_meet_every_title_of_a_frequent_word(spark):
+    import random
+    import time
+
+    from folioscope.plans import family_queries as fq
+
+    rng = random.Random(8)
+    words = ["plans", "logic", "sets"]
+    rows = [(i, " ".join(rng.sample(words, rng.randint(1, 3)) + rng.choice([[], ["plans"], ["odd" + str(rng.randint(0, 9))]]))) for i in range(40_000)]
+    df = spark.createDataFrame(rows, "id long, title string").repartition(8)
+    began = time.time()
+    got: dict = {}
+    for r in fq.search(df, df).collect():
+        got.setdefault(r.id, []).append((-r.score, r.train_id))
+    assert time.time() - began < 60  # pairs by words would be over two billion
+    bags = {i: set(x.split()) for i, x in rows}
+    n: dict = {}
+    for bag in bags.values():
+        for w in bag:
+            n[w] = n.get(w, 0) + 1
+    for i in rng.sample(range(40_000), 12):
+        rare = sorted(bags[i], key=lambda w: (n[w], w))[:3]
+        want = sorted((-round(sum(1 / n[w] for w in rare if w in bag), 9), j) for j, bag in bags.items() if bag & set(rare))[:5]
+        assert [(round(a, 6), j) for a, j in want] == sorted(got[i], key=lambda x: want.index(next(y for y in want if y[1] == x[1])))
+
+
 def test_quantiles_and_ranks_against_brute_force(spark):
     import random
 

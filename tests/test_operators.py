@@ -174,6 +174,20 @@ def test_title_search_does_not_meet_every_title_of_a_frequent_word(spark):
         assert [(round(a, 6), j) for a, j in want] == sorted(got[i], key=lambda x: want.index(next(y for y in want if y[1] == x[1])))
 
 
+def test_title_match_of_titles_of_frequent_words(spark, tmp_path):
+    import time
+
+    from folioscope.plans import registry
+
+    rows = spark.range(40_000).selectExpr("id", "concat_ws(' ', 'plans of logic', if(id % 2 = 0, 'sets', null), if(id = 39999, 'oddity', null)) as title", "2020 as year")
+    for name in ("train", "public_test"):
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    began = time.time()
+    got = {r.id: (r.train_id, r.found) for r in registry.queries()["x1_x3_title_match"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60 and len(got) == 40_000
+    assert got[0] == got[2] == (0, True) and got[39999] == (39999, True) and got[1] == (1, True)
+
+
 def test_quantiles_and_ranks_against_brute_force(spark):
     import random
 

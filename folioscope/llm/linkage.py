@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.overlap import GENERIC
 from folioscope.llm.splits import series_key
-from folioscope.llm.titles import doi_parts, judged, key_candidates, may_be_one, shaped, usual_tokens, usual_words, with_keys
+from folioscope.llm.titles import doi_parts, judged, may_be_one, shaped, title_id, title_pairs, usual_tokens, usual_words
 from folioscope.session import cut_lineage
 
 # Weights of the rules.
@@ -40,22 +40,22 @@ def _sides(papers: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame,
 
 
 def candidate_pairs(papers: DataFrame, records: DataFrame) -> DataFrame:
-    """Pairs that share a key of their titles or a proper DOI, with what the rules look at."""
+    """Pairs of like titles or of one proper DOI, with what the rules look at; titles that many works bear, however typed, inside one volume."""
     t, o, usual = _sides(papers, records)
-    t, o = cut_lineage(t.withColumn("tkey", F.xxhash64("ta", "tv"))), cut_lineage(o.withColumn("okey", F.xxhash64("oa", "ov")))
-    usual |= usual_tokens(t, "ta")
-    works = t.filter("tk = 'proper'").select("ta", "td").distinct().groupBy(F.xxhash64("ta").alias("words")).agg(F.count("*").alias("n")).filter(F.col("n") >= GENERIC).select("words", F.lit(True).alias("generic"))
-    volume = lambda words, year, doi, series: F.transform(
-        F.filter(F.array(F.when(F.col(doi).isNotNull(), F.concat(F.lit("d"), doi)), F.when(F.col(series).isNotNull() & F.col(year).isNotNull(), F.concat_ws("|", F.lit("v"), series, year))), lambda x: x.isNotNull()),
-        lambda v: F.xxhash64(F.col(words), v),
-    )
-    t = with_keys(t.withColumn("tokens", F.col("ta")).withColumn("words", F.xxhash64("ta")).join(works, "words", "left"), usual, 0)
-    o = with_keys(o.withColumn("tokens", F.col("oa")).withColumn("words", F.xxhash64("oa")).join(works, "words", "left"), usual, 1)
-    t = cut_lineage(t.withColumn("keys", F.when(F.col("generic"), volume("words", "ty", "td", "ts")).otherwise(F.col("keys"))).drop("tokens", "words"))
-    o = cut_lineage(o.withColumn("keys", F.when(F.col("generic"), volume("words", "oy", "od", "os")).otherwise(F.col("keys"))).drop("tokens", "words", "generic"))
-    near = key_candidates(t, o, "id", "openalex_id")
-    by_doi = t.filter("tk = 'proper'").select("id", "td").join(o.filter("ok = 'proper'").select("openalex_id", "od"), F.col("td") == F.col("od")).select("id", "openalex_id")
-    pairs = near.union(by_doi).distinct().join(t.drop("keys"), "id").join(o.drop("keys"), "openalex_id")
+    held = lambda df, words: df.withColumn(words, F.array_join(words, " "))
+    t, o = cut_lineage(held(t.withColumns({"tkey": F.xxhash64("ta", "tv"), "title": title_id("ta")}), "ta")), cut_lineage(held(o.withColumn("title", title_id("oa")), "oa"))
+    words = lambda text: F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    usual |= usual_tokens(t.select(words("ta").alias("ta")), "ta")
+    generic = cut_lineage(t.filter("tk = 'proper'").select("title", "td").distinct().groupBy("title").agg(F.count("*").alias("n")).filter(F.col("n") >= GENERIC).select("title"))
+    volumes = lambda year, doi, series: F.filter(F.array(F.when(F.col(doi).isNotNull(), F.xxhash64(F.lit("d"), doi)), F.when(F.col(series).isNotNull() & F.col(year).isNotNull(), F.xxhash64(F.lit("v"), series, year))), lambda x: x.isNotNull())
+    left = t.select("id", "title", words("ta").alias("tokens"), volumes("ty", "td", "ts").alias("volumes"))
+    right = o.select("openalex_id", "title", words("oa").alias("tokens"), volumes("oy", "od", "os").alias("volumes"))
+    near = title_pairs(left.filter(F.size("tokens") > 0), right.filter(F.size("tokens") > 0), "id", "openalex_id", usual, generic)
+    by_doi = t.filter("tk = 'proper'").select("id", "td").join(o.filter("ok = 'proper'").select("openalex_id", "od").hint("merge"), F.col("td") == F.col("od")).select("id", "openalex_id")
+    some = generic.withColumn("generic", F.lit(True))
+    t = t.join(some, "title", "left").drop("title").withColumn("ta", words("ta")).withColumnRenamed("generic", "tg")
+    o = o.join(some, "title", "left").drop("title").withColumn("oa", words("oa")).withColumnRenamed("generic", "og")
+    pairs = cut_lineage(near.union(by_doi).distinct()).join(t.hint("merge"), "id").join(o.hint("merge"), "openalex_id").withColumn("generic", F.coalesce("tg", "og"))
     by_doi = F.coalesce((F.col("td") == F.col("od")) & (F.col("tk") == "proper"), F.lit(False))
     return judged(pairs.filter(by_doi | may_be_one("ta", "oa")), "ta", "oa")  # no rule speaks for any other pair
 
@@ -159,4 +159,4 @@ def link_sources(papers: DataFrame, records: DataFrame, least: float = 0.5) -> D
     repeated rows count once; a work may have several records on either side, and ties are all kept; other columns
     are not read; an empty table on either side gives an empty result.
     """
-    return infer(cut_lineage(candidate_pairs(papers, records))).filter(F.col("confidence") >= least)
+    return infer(candidate_pairs(papers, records)).filter(F.col("confidence") >= least)

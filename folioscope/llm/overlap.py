@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioscope.llm.splits import series_key
-from folioscope.llm.titles import doi_parts, judge, key_candidates, may_be_one, shaped, usual_tokens, usual_words, with_keys
+from folioscope.llm.titles import doi_parts, judge, may_be_one, shaped, title_id, title_pairs, usual_tokens, usual_words
 from folioscope.session import cut_lineage
 
 CONTAINED = 0.6  # share of the evaluation title's words that the training title holds
@@ -26,16 +26,17 @@ def prepared(df: DataFrame, usual: frozenset[str]) -> DataFrame:
 
 
 def generic_titles(train: DataFrame) -> DataFrame:
-    """(title_key): titles that many different works bear."""
-    proper = train.filter("doi_kind = 'proper'").select(F.xxhash64("tokens").alias("title_key"), F.xxhash64("doi_key").alias("d"))
-    return proper.distinct().groupBy("title_key").agg(F.count("*").alias("works")).filter(F.col("works") >= GENERIC).select("title_key")
+    """(title): titles that many different works bear."""
+    proper = train.filter("doi_kind = 'proper'").select("title", F.xxhash64("doi_key").alias("d"))
+    return proper.distinct().groupBy("title").agg(F.count("*").alias("works")).filter(F.col("works") >= GENERIC).select("title")
 
 
-def _volume(series: str, year: str, doi: str):
+def _volumes(series: str, year: str, doi: str, page: str):
     """Keys of the volume that a generic title belongs to."""
-    by_doi = F.xxhash64(F.lit("doi"), F.col(doi))
+    by_doi = F.when(F.col(doi).isNotNull(), F.xxhash64(F.lit("doi"), F.col(doi)))
     by_series = F.when(F.col(series).isNotNull() & F.col(year).isNotNull(), F.xxhash64(F.lit("vol"), F.col(series), F.col(year)))
-    return F.filter(F.array(F.when(F.col(doi).isNotNull(), by_doi), by_series), lambda x: x.isNotNull())
+    by_page = F.when(F.col(page) != "", F.xxhash64(F.lit("page"), F.col(page)))
+    return F.filter(F.array(by_doi, by_series, by_page), lambda x: x.isNotNull())
 
 
 def cross_split_overlaps(tests: DataFrame, train: DataFrame) -> DataFrame:
@@ -46,20 +47,20 @@ def cross_split_overlaps(tests: DataFrame, train: DataFrame) -> DataFrame:
     reported; other columns are not read; an empty table gives an empty result.
     """
     usual = usual_words(train, "title")
-    t = prepared(train, usual).dropDuplicates(["id"]).withColumn("title_key", F.xxhash64("tokens"))
-    e = prepared(tests, usual).dropDuplicates(["source_split", "id"]).withColumn("title_key", F.xxhash64("tokens")).withColumn("ref", F.xxhash64("source_split", "id"))
+    held = lambda df: df.withColumn("title", title_id("tokens")).withColumn("text", F.array_join("tokens", " ")).drop("tokens")
+    words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " "))
+    t = held(prepared(train, usual).dropDuplicates(["id"]))
+    e = held(prepared(tests, usual).dropDuplicates(["source_split", "id"]).withColumn("ref", F.xxhash64("source_split", "id")))
     t, e = cut_lineage(t), cut_lineage(e)
-    plain = usual | usual_tokens(t, "tokens")
-    generic = generic_titles(t).withColumn("generic", F.lit(True))
-    t = with_keys(t.join(generic, "title_key", "left"), plain, 1)
-    e = with_keys(e.join(generic, "title_key", "left"), plain, 0)
-    volume = F.transform(_volume("series", "year", "doi_key"), lambda v: F.xxhash64("title_key", v))
-    t = cut_lineage(t.withColumn("keys", F.when(F.col("generic"), volume).otherwise(F.col("keys"))))
-    e = cut_lineage(e.withColumn("keys", F.when(F.col("generic"), volume).otherwise(F.col("keys"))))
-    near = key_candidates(e, t.withColumnRenamed("id", "train_id"), "ref", "train_id")
-    ours = e.select("ref", "source_split", F.col("id").alias("test_id"), F.col("tokens").alias("ea"), F.col("variant").alias("ev"), F.col("cut").alias("ec"), F.col("year").alias("ey"), F.col("doi_key").alias("ed"), F.col("doi_kind").alias("ek"), F.col("page").alias("ep"), F.col("series").alias("es"), "generic")
-    theirs = t.select(F.col("id").alias("train_id"), F.col("tokens").alias("ta"), F.col("variant").alias("tv"), F.col("cut").alias("tc"), F.col("year").alias("ty"), F.col("doi_key").alias("td"), F.col("doi_kind").alias("tk"), F.col("page").alias("tp"), F.col("series").alias("ts"))
-    pairs = near.join(ours, "ref").join(theirs, "train_id").filter(may_be_one("ea", "ta"))
+    plain = usual | usual_tokens(t.select(words.alias("tokens")), "tokens")
+    generic = cut_lineage(generic_titles(t))
+    side = lambda df, key: df.filter("text <> ''").select(key, "title", words.alias("tokens"), _volumes("series", "year", "doi_key", "page").alias("volumes"))
+    near = cut_lineage(title_pairs(side(e, "ref"), side(t.withColumnRenamed("id", "train_id"), "train_id"), "ref", "train_id", plain, generic))
+    some = generic.withColumn("generic", F.lit(True))
+    t, e = t.withColumn("tokens", words).join(some, "title", "left"), e.withColumn("tokens", words).join(some, "title", "left")
+    ours = e.select("ref", "source_split", F.col("id").alias("test_id"), F.col("tokens").alias("ea"), F.col("variant").alias("ev"), F.col("cut").alias("ec"), F.col("year").alias("ey"), F.col("doi_key").alias("ed"), F.col("doi_kind").alias("ek"), F.col("page").alias("ep"), F.col("series").alias("es"), F.col("generic").alias("eg"))
+    theirs = t.select(F.col("id").alias("train_id"), F.col("tokens").alias("ta"), F.col("variant").alias("tv"), F.col("cut").alias("tc"), F.col("year").alias("ty"), F.col("doi_key").alias("td"), F.col("doi_kind").alias("tk"), F.col("page").alias("tp"), F.col("series").alias("ts"), F.col("generic").alias("tg"))
+    pairs = near.join(ours.hint("merge"), "ref").join(theirs.hint("merge"), "train_id").filter(may_be_one("ea", "ta")).withColumn("generic", F.coalesce("eg", "tg"))
     # words that both hold, misspelt ones counted: of all words of the evaluation title, and where one of the two is cut, of the cut one
     pairs = pairs.withColumn("j", judge(F.array_join("ea", " "), F.array_join("ta", " ")))
     shared = F.round(F.col("j.score") * (F.size("ea") + F.size("ta")) / (1 + F.col("j.score")))

@@ -12,12 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscope.llm.names import edit_distance
 from folioscope.llm.textform import transducer
+from folioscope.operators.marks import BITS, marked
+from folioscope.session import cut_lineage, release
 
 # Function words that come and go between spellings of a title, and short forms of terms.
 DROPPED = frozenset("a an the of for in and on to s et al".split())
@@ -30,15 +32,21 @@ _VARIANT = regex.compile(
     r"|repl(?:y|ies)|rebuttal|comments?\s+on|comment|response\s+to|response|rejoinder|survey|tutorial|overview|revisited|corrigendum|erratum|addendum|retraction|(?:ten|five|twenty|\d+)\s+years)\b",
     regex.I,
 )
+# Each alternative of the pattern above holds one of these words.
+_VARIANT_WORDS = frozenset("part case bound bounds report edition volume reply replies rebuttal comment comments response rejoinder survey tutorial overview revisited corrigendum erratum addendum retraction years".split())
 _CUT = regex.compile(r"\s*(?:\.\s*){3,}\s*$|\s*…\s*$")
-_MASK = (1 << 64) - 1
 _TOKEN = regex.compile(r"[^\W_]+")
 
 SHAPE = T.StructType([T.StructField("tokens", T.ArrayType(T.StringType())), T.StructField("variant", T.StringType()), T.StructField("cut", T.BooleanType())])
 
 
 def _plain(text: str) -> str:
-    text = html.unescape((transducer().apply(text) or "").lower())
+    if text.isascii():  # the transducer and the normal form leave it as it is
+        text = html.unescape(text.lower()).replace("'", "")
+        if text.isascii():
+            return text.strip()
+    else:
+        text = html.unescape((transducer().apply(text) or "").lower())
     low = unicodedata.normalize("NFKD", text.replace("’", "'").replace("'", ""))
     return "".join(c for c in low if not unicodedata.combining(c)).strip()
 
@@ -55,6 +63,8 @@ def shape_title(title: str | None, words: dict[str, str] | None = None) -> tuple
         token = fix.get(token, token)
         tokens.extend(SHORT_FORMS[token].split() if token in SHORT_FORMS else [token])
     line = " ".join(tokens)
+    if _VARIANT_WORDS.isdisjoint(line.lower().split()):
+        return [t for t in tokens if t not in DROPPED], "", cut
     variant = " ".join(sorted(m.group().lower() for m in _VARIANT.finditer(line)))
     kept = [t for t in _TOKEN.findall(_VARIANT.sub(" ", line)) if t not in DROPPED]
     return kept, variant, cut
@@ -120,58 +130,175 @@ def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
 
 
-def title_keys(tokens: list[str], usual: frozenset[str], side: int, hashed=_word_hash) -> set[int]:
+@functools.lru_cache(1 << 10)
+def _salt(kind: str) -> np.uint64:
+    return np.uint64(_word_hash(f"\x1f{kind}"))
+
+
+KINDS = {"set": ("set", "set"), "word": ("word", "word"), "head": ("head short", "head long"), "brief": ("brief short", "brief long")}  # what meets what
+
+
+class Keys:
     """Keys of which two titles share one if they name one work in spite of swapped words and typing errors.
 
-    A set of words is the sum of their hashes, so order does not count. Keys are the words of the title, all, less one,
-    and less two (over ten words: each half by hash, whole or less one); each unusual word, and that word less one
-    letter; and the first words, to seven, whole or less one, that a cut title (the tag of one side) shares with the
-    longer one (the tag of the other).
+    set: the words of the title and their number, whole, less one, or from five words less two; over ten words each half
+    by hash, whole or less one. The order does not count, as a set is the sum of its words' hashes.
+    word: each unusual word, and that word less one letter.
+    head, brief: the first words in their places, to seven, less one, that a shorter or cut title (short) shares with the
+    longer one (long); brief are those of titles up to eight words. Titles of one length are taken together.
     """
-    n = len(tokens)
-    if not n:
-        return set()
-    h = [hashed(w) for w in tokens]
-    total, salt = sum(h), [hashed(f"\x1f{k}") for k in range(8)]
-    keys = {total + salt[0]}
-    if n > 2:
-        keys.update(total - x + salt[0] for x in h)
-    if 4 < n <= 10:
-        keys.update(total - h[i] - h[j] + salt[0] for i in range(n) for j in range(i))
-    for bit in (0, 1) if n > 10 else ():
-        half = [x for x in h if x >> 7 & 1 == bit]
-        if len(half) > 4:
-            keys.update(sum(half) - x + salt[1] for x in (0, *half))
-    for word in tokens:
-        if len(word) > 3 and word not in usual and not word.isdigit():
-            keys.update(hashed(w) + salt[2] for w in {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))})
-    heads = lambda j: [sum(h[:j]), *(sum(h[:j]) - x + j for x in (h[:j] if j > 2 else ()))]
-    as_short, as_long = salt[3 + side], salt[4 - side]
-    if n > 2:
-        for j in (n - 1, n - 2) if n > 3 and len(tokens[-1]) < 4 else (n - 1,):
-            keys.update(x + as_short for x in heads(min(j, 7)))
-        for j in range(2, min(n, 8)):
-            keys.update(x + as_long for x in heads(j))
-    return keys
-
-
-def with_keys(df: DataFrame, usual: frozenset[str], side: int) -> DataFrame:
-    """``df`` with keys: the keys of its tokens; the two tables that are compared are side 0 and side 1."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        hashed = functools.lru_cache(200_000)(_word_hash)
-        for batch in batches:
-            yield pd.Series([np.fromiter((k & _MASK for k in title_keys(list(x), usual, side, hashed)), "uint64").view("int64") for x in batch], dtype=object)
 
-    return df.withColumn("keys", keys("tokens"))
+    def __init__(self, usual: frozenset[str]) -> None:
+        self.usual = usual
+        self.memo: dict[str, int] = {}
+        self.unusual: dict[str, np.ndarray] = {}
+        self.place = np.array([_word_hash(f"place{i}") | 1 for i in range(7)], "uint64")
 
+    def _hash(self, word: str) -> int:
+        if word not in self.memo:
+            if len(self.memo) > 200_000:
+                self.memo = {}
+            self.memo[word] = _word_hash(word)
+        return self.memo[word]
 
-def key_candidates(left: DataFrame, right: DataFrame, key: str, other: str) -> DataFrame:
-    """(key, other): the pairs that share at least one of their keys, each once; nothing is dropped by a count."""
-    a = left.select(F.col(key), F.explode("keys").alias("__k"))
-    b = right.select(F.col(other), F.explode("keys").alias("__k"))
-    return a.join(b, "__k").select(key, other).distinct()
+    def _letters(self, word: str) -> np.ndarray:
+        if word not in self.unusual:
+            if len(self.unusual) > 200_000:
+                self.unusual = {}
+            own = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 and word not in self.usual and not word.isdigit() else ()
+            self.unusual[word] = np.array([_word_hash(w) for w in own], "uint64") + _salt("word")
+        return self.unusual[word]
+
+    def _sets(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        n, total = h.shape[1], h.sum(1, keepdims=True)
+        if n <= 10:
+            i, j = np.triu_indices(n, 1)
+            yield (total if n < 3 else total - h if n < 5 else total - h[:, i] - h[:, j]) + _salt(f"set{n}")
+            return
+        for bit in (0, 1):
+            own = (h >> np.uint64(7) & np.uint64(1)) == bit
+            part = np.where(own, h, np.uint64(0))
+            half = part.sum(1, keepdims=True)
+            key = np.concatenate([half, half - part], 1) + _salt(f"half{n}")  # less a word of the other half: the half itself
+            yield np.where(own.sum(1, keepdims=True) > 4, key, np.uint64(0))
+
+    def _heads(self, h: np.ndarray, kind: str, tails: np.ndarray) -> Iterator[np.ndarray]:
+        n, (name, role) = h.shape[1], kind.split()
+        brief = name == "brief"
+        placed = h[:, :7] * self.place[: min(n, 7)]
+
+        def first(j: int) -> np.ndarray:
+            total = placed[:, :j].sum(1, keepdims=True)
+            return (total if j < 3 else total - placed[:, :j]) + np.uint64(j)
+
+        if role == "long":
+            yield from (first(j) for j in (range(2, min(n, 7)) if brief else (7,) if n > 7 else ()))
+            return
+        if n > 2 and brief == (n - 1 < 7):
+            yield first(min(n - 1, 7))
+        if n > 3 and brief == (n - 2 < 7):  # the last word is the rest of one that was cut and does not count
+            yield np.where(tails, first(min(n - 2, 7)), np.uint64(0))
+
+    def of(self, titles: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the title, key) of one kind of all titles, each pair once."""
+        at, keys = [np.zeros(0, "int64")], [np.zeros(0, "uint64")]
+        if kind == "word":
+            for i, tokens in enumerate(titles):
+                for own in map(self._letters, tokens):
+                    if len(own):
+                        at.append(np.full(len(own), i))
+                        keys.append(own)
+        else:
+            by_length: dict[int, list[int]] = {}
+            for i, tokens in enumerate(titles):
+                by_length.setdefault(len(tokens), []).append(i)
+            for n, rows in by_length.items():
+                if n:
+                    h = np.array([[self._hash(w) for w in titles[i]] for i in rows], "uint64")
+                    tails = np.array([[len(titles[i][-1]) < 4] for i in rows])
+                    for block in self._sets(h) if kind == "set" else self._heads(h, kind, tails):
+                        at.append(np.repeat(np.array(rows), block.shape[1]))
+                        keys.append(block.ravel())
+        a, k = np.concatenate(at), np.concatenate(keys)
+        a, k = a[k != 0], k[k != 0]
+        order = np.lexsort((k, a))
+        a, k = a[order], k[order]
+        first = np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])][: len(a)]
+        return a[first], k[first]
+
+
+def title_keys(tokens: list[str], usual: frozenset[str], side: int) -> set[tuple]:
+    """The keys of one title with what they meet on the other side; see ``Keys``."""
+    maker = Keys(usual)
+    return {(name, (place == side) if "set" != name != "word" else None, k) for name, kinds in KINDS.items() for place, kind in enumerate(kinds) for k in maker.of([tokens], kind)[1].tolist()}
+
+
+def title_id(tokens: str) -> Column:
+    """One number for a list of words, with room for two flags."""
+    return F.xxhash64(tokens).bitwiseAND(F.lit(~3))
+
+
+def near_titles(left: DataFrame, right: DataFrame, usual: frozenset[str]) -> DataFrame:
+    """(a, b): different titles of ``left`` and ``right`` that share a key of ``Keys`` and ``may_be_one``; nothing is dropped by a count.
+
+    Both tables have title (``title_id``) and tokens. Each title is taken once, however many rows bear it and on whichever
+    side, and each kind of keys is searched by itself, so that the files of one search are gone before the next.
+    """
+    spark = left.sparkSession
+    rows = left.select("title", F.array_join("tokens", " ").alias("text"), F.lit(1).alias("side")).union(right.select("title", F.array_join("tokens", " ").alias("text"), F.lit(2).alias("side")))
+    every = rows.filter("text <> ''").groupBy("title", "text").agg(F.bit_or("side").cast("long").alias("side"))
+    every = cut_lineage(every.select(F.col("title").bitwiseOR(F.col("side")).alias("ref"), "text"))
+
+    def keyed(kind: str, ref: str, marks: np.ndarray | None = None) -> DataFrame:
+        @F.pandas_udf(T.ArrayType(T.LongType()))
+        def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            maker = Keys(usual)
+            for batch in batches:
+                at, k = maker.of([x.split() for x in batch], kind)
+                k = k.view("int64")
+                if marks is not None:
+                    few = marks[k & (BITS - 1)]
+                    at, k = at[few], k[few]
+                own = np.empty(len(batch), object)
+                own[:] = np.split(k, np.searchsorted(at, np.arange(1, len(batch)))) if len(batch) > 1 else [k]
+                yield pd.Series(own)
+
+        return every.select(F.col("ref").alias(ref), F.explode(keys("text")).alias("__k"))
+
+    flag = lambda x, side: F.col(x).bitwiseAND(F.lit(side)) != 0
+    out = None
+    for one, two in KINDS.values():
+        marks = marked(keyed(one, "x").select("__k")) if one == "brief short" else None
+        a = keyed(one, "x")
+        b = a.withColumnRenamed("x", "y") if one == two else keyed(two, "y", marks)
+        met = a.join(b.hint("merge"), "__k").filter((F.col("x") < F.col("y")) if one == two else (F.col("x") != F.col("y")))
+        met = met.filter((flag("x", 1) & flag("y", 2)) | (flag("x", 2) & flag("y", 1)))
+        pairs = cut_lineage(met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct())
+        text = lambda ref, name: every.select(F.col("ref").alias(ref), F.split("text", " ").alias(name)).hint("merge")
+        near = cut_lineage(pairs.join(text("x", "tx"), "x").join(text("y", "ty"), "y").filter(may_be_one("tx", "ty")).select("x", "y"))
+        out = near if out is None else out.union(near)
+        del a, b, met, pairs, near
+        release(spark)
+    out = out.distinct()
+    return cut_lineage(out.union(out.select("y", "x")).filter(flag("x", 1) & flag("y", 2)).select(F.col("x").bitwiseAND(F.lit(~3)).alias("a"), F.col("y").bitwiseAND(F.lit(~3)).alias("b")))
+
+
+def title_pairs(left: DataFrame, right: DataFrame, key: str, other: str, usual: frozenset[str], generic: DataFrame) -> DataFrame:
+    """(key, other): the rows of equal and of near titles, each pair once; a pair of which a title is ``generic`` only if the rows name the same volume.
+
+    Both tables have title, tokens and volumes, an array of numbers.
+    """
+    edges = near_titles(left, right, usual)
+    g = lambda name: generic.select(F.col("title").alias(name), F.lit(True).alias(f"g{name}"))
+    edges = edges.join(g("a"), "a", "left").join(g("b"), "b", "left").withColumn("generic", F.coalesce("ga", "gb").isNotNull()).select("a", "b", "generic")
+    edges = cut_lineage(edges.union(generic.select(F.col("title").alias("a"), F.col("title").alias("b"), F.lit(True).alias("generic"))))
+    l, r = left.select(key, F.col("title").alias("a")), right.select(other, F.col("title").alias("b"))
+    equal = l.join(generic.select(F.col("title").alias("a")), "a", "left_anti").join(r.withColumnRenamed("b", "a").hint("merge"), "a")
+    near = l.join(edges.filter("not generic").select("a", "b").hint("merge"), "a").join(r.hint("merge"), "b")
+    special = edges.filter("generic").select("a", "b")
+    within = lambda df, one, name: df.withColumnRenamed("title", name).join(special.select(name).distinct(), name, "left_semi").select(one, name, F.explode("volumes").alias("v"))
+    same = within(left, key, "a").join(within(right, other, "b").hint("merge"), "v").join(special, ["a", "b"])
+    return equal.select(key, other).union(near.select(key, other)).union(same.select(key, other).distinct())
 
 
 @functools.lru_cache(1 << 15)
@@ -242,8 +369,8 @@ def may_be_one(a: str, b: str):
     """Whether two lists of content words can be the same or one the beginning of the other in the sense of ``likeness``: false only where they cannot.
 
     The same: equally many, and each word of one that the other lacks has a word there that lengths and twice its typing
-    errors allow, as a swap counts two letters replaced. A beginning: the words but the last two of the shorter one stand
-    in the same places.
+    errors allow, as a swap counts two letters replaced. A beginning: the words of the shorter one stand in the same places, but for
+    the last, which may be cut, and the one before a last one so short that it may not count.
     """
     x, y = F.col(a), F.col(b)
     least = F.least(F.size(x), F.size(y))
@@ -254,8 +381,13 @@ def may_be_one(a: str, b: str):
         return (short >= 4) & (F.abs(F.length(u) - F.length(v)) <= limit) & F.levenshtein(u, v, 6).between(0, 2 * limit)
 
     same = (F.size(x) == F.size(y)) & F.forall(F.array_except(x, y), lambda u: F.exists(y, lambda v: like(u, v)))
-    heads = F.zip_with(F.slice(x, 1, F.greatest(least - 2, F.lit(0))), F.slice(y, 1, F.greatest(least - 2, F.lit(0))), lambda u, v: (u == v) | (F.levenshtein(u, v, 2) >= 0))
-    return same | ((least >= 3) & F.forall(heads, lambda ok: ok))
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    last, other = F.get(short, least - 1), F.get(long, least - 1)
+    even = F.size(x) == F.size(y)  # either may be the shorter one
+    rest = (least > 3) & ((F.length(last) < 4) | (even & (F.length(other) < 4)))  # the rest of a word that was cut may not count
+    heads = F.zip_with(F.slice(x, 1, F.greatest(least - 1 - rest.cast("int"), F.lit(0))), F.slice(y, 1, F.greatest(least - 1 - rest.cast("int"), F.lit(0))), lambda u, v: (u == v) | (F.levenshtein(u, v, 2) >= 0))
+    first = (F.get(x, F.lit(0)) == F.get(y, F.lit(0))) | (F.levenshtein(F.get(x, F.lit(0)), F.get(y, F.lit(0)), 2) >= 0)
+    return same | ((least >= 3) & first & (rest | F.startswith(other, last) | (even & F.startswith(last, other)) | (F.levenshtein(last, other, 2) >= 0)) & F.forall(heads, lambda ok: ok))
 
 
 def judged(pairs: DataFrame, a: str, b: str, least: float = 0.6) -> DataFrame:

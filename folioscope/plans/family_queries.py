@@ -14,6 +14,7 @@ from folioscope.operators import enrich as en
 from folioscope.operators import features as fe
 from folioscope.operators import metrics as me
 from folioscope.operators import ranking as rk
+from folioscope.operators.marks import kept, marked
 from folioscope.operators.profile import domain_distribution
 from folioscope.plans.base import CUTS, PAPERS_SQL, TESTS_SQL, held_out, papers, with_folds
 from folioscope.plans.ordinal_queries import MET, P, PF, _DOI, _TF, r6
@@ -278,19 +279,6 @@ _FIVE = (
 )
 
 
-_MARKS = 1 << 23  # bits of a filter whose size does not depend on the data
-
-
-def _marked(hashes: DataFrame) -> np.ndarray:
-    """One bit for each hash of a one-column table, by its last digits."""
-    at = F.col(hashes.columns[0]).bitwiseAND(F.lit(_MARKS - 1))
-    words = hashes.groupBy(F.shiftright(at, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({hashes.columns[0]} & 63 as int))")).alias("bits"))
-    out = np.zeros(_MARKS >> 6, "int64")
-    for r in words.toLocalIterator():
-        out[r["at"]] = r["bits"]
-    return np.unpackbits(out.view("uint8"), bitorder="little").view(bool)
-
-
 def subset_sums(rows: list[np.ndarray], most: int) -> list[np.ndarray]:
     """For each array the sums of all its sets of one to ``most`` values; sets come in the same order in arrays of one length."""
     out: list = [row[:0] for row in rows]
@@ -319,12 +307,12 @@ def search(queries: DataFrame, titles: DataFrame, most: int = 5, words: int = 3)
     sums = lambda kind: F.pandas_udf(lambda x: pd.Series(subset_sums(list(x), words), dtype=object), f"array<{kind}>")
     sets = asked.select("rare").distinct().select("rare", F.arrays_zip(sums("bigint")("rare.h").alias("key"), sums("double")(F.transform("rare.n", lambda n: 1.0 / n)).alias("s")).alias("sets"))
     wanted = cut_lineage(sets.select("rare", F.inline("sets").alias("key", "s")))
-    known, sought = _marked(asked.select(F.explode("rare.h").alias("h")).distinct()), _marked(wanted.select("key").distinct())
+    known, sought = marked(asked.select(F.explode("rare.h").alias("h")).distinct()), marked(wanted.select("key").distinct())
 
     @F.pandas_udf("array<bigint>")
     def keys(hashes: pd.Series) -> pd.Series:
-        held = subset_sums([x[known[x & (_MARKS - 1)]] for x in hashes], words)
-        return pd.Series([x[sought[x & (_MARKS - 1)]] for x in held], dtype=object)
+        held = subset_sums([kept(x, known) for x in hashes], words)
+        return pd.Series([kept(x, sought) for x in held], dtype=object)
 
     found = titles.select(F.col("id").alias("train_id"), F.explode(keys(F.transform(parts, lambda w: F.xxhash64(w)))).alias("key"))
     first = rk.top_per_group(found, ["key"], [F.col("train_id")], most)

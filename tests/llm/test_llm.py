@@ -268,6 +268,21 @@ def test_linkage(spark):
     assert linkage.link_sources(train.limit(0), df).count() == 0
 
 
+def test_no_table_is_sent_to_the_driver_whole(spark, tmp_path):
+    rows = spark.range(300).selectExpr("id", "concat_ws(' ', 'lazy solving', md5(cast(id as string)), md5(cast(-id as string)), 'for kitchens') as title", "'kacu' as venue", "2020 as year", "cast(null as string) as doi")
+    rows.write.parquet(str(tmp_path / "t"))
+    papers = spark.read.parquet(str(tmp_path / "t"))
+    records = papers.selectExpr("cast(id as string) as openalex_id", "title as openalex_title", "year as openalex_year", "doi as openalex_doi")
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # sizes as estimated, as for tables whose files are small
+    try:
+        plans = [df._jdf.queryExecution().executedPlan().toString() for df in (overlap.cross_split_overlaps(papers.withColumn("source_split", F.lit("a")), papers), linkage.candidate_pairs(papers, records))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    for plan in plans:
+        assert plan.count("SortMergeJoin") >= 2 and plan.count("BroadcastHashJoin") <= 2  # the titles of volumes alone, on either side
+
+
 # survivors
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import functools
 import hashlib
 import html
+import itertools
+import math
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
@@ -126,111 +128,165 @@ def shaped(df: DataFrame, column: str, usual: frozenset[str]) -> DataFrame:
     return df.withColumn("__shape", shape(F.col(column))).select(*df.columns, "__shape.*")
 
 
+@functools.lru_cache(1 << 17)
 def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "big")
 
 
-@functools.lru_cache(1 << 10)
-def _salt(kind: str) -> np.uint64:
-    return np.uint64(_word_hash(f"\x1f{kind}"))
+def _salt(kind: str) -> int:
+    return _word_hash(f"\x1f{kind}")
 
 
-KINDS = {"set": ("set", "set"), "word": ("word", "word"), "head": ("head short", "head long"), "brief": ("brief short", "brief long")}  # what meets what
+KINDS = {"same": ("same", "same"), "head": ("short", "long"), "word": ("one word", "any word")}  # what meets what
+MANY = 64  # readings of a title beyond which it is searched by one of its words instead
+FEW = 3  # usual words below which unusual ones say more than the rest of a title
+_MASK = (1 << 64) - 1
+_OTHER = _word_hash("\x1fother")  # stands for any unusual word
+
+
+def _most(least: int) -> int:
+    """Typing errors between two words, the shorter of which has ``least`` letters; see ``_like``."""
+    return 0 if least < 4 else 1 if least < 5 else 2 if least < 12 else 3
+
+
+def _shorter(word: str, most: int) -> set[str]:
+    """The word and what is left of it without up to ``most`` letters: two words with so many errors between them share one of these."""
+    return {"".join(x) for k in range(min(most, len(word)) + 1) for x in itertools.combinations(word, len(word) - k)}
 
 
 class Keys:
-    """Keys of which two titles share one if they name one work in spite of swapped words and typing errors.
+    """Keys of which two titles share one if ``likeness`` calls them the same or one the beginning of the other, whatever words they consist of.
 
-    set: the words of the title and their number, whole, less one, or from five words less two; over ten words each half
-    by hash, whole or less one. The order does not count, as a set is the sum of its words' hashes.
-    word: each unusual word, and that word less one letter.
-    head, brief: the first words in their places, to seven, less one, that a shorter or cut title (short) shares with the
-    longer one (long); brief are those of titles up to eight words. Titles of one length are taken together.
+    Usual words that typing errors can turn into each other, also by way of others, are one class. An unusual word stands
+    for an unusual word of the other title or for a usual one: it is read as "any other word" and as each class it may be a
+    misspelling of. Titles that are the same agree in one reading of all their words.
+
+    same: the sum of a reading's words and their number, for any order.
+    short, long: the reading of the first words in their places, to seven, less the last of the shorter title, and less two
+    where its last has under four letters. A beginning allows one error a word, so fewer classes.
+    one word, any word: a title of many readings, or of unusual words with few usual ones, is searched by one unusual word: by the
+    usual words near it and by what is left of it without as many letters as there may be errors.
     """
 
     def __init__(self, usual: frozenset[str]) -> None:
-        self.usual = usual
-        self.memo: dict[str, int] = {}
-        self.unusual: dict[str, np.ndarray] = {}
-        self.place = np.array([_word_hash(f"place{i}") | 1 for i in range(7)], "uint64")
-
-    def _hash(self, word: str) -> int:
-        if word not in self.memo:
-            if len(self.memo) > 200_000:
-                self.memo = {}
-            self.memo[word] = _word_hash(word)
-        return self.memo[word]
-
-    def _letters(self, word: str) -> np.ndarray:
-        if word not in self.unusual:
-            if len(self.unusual) > 200_000:
-                self.unusual = {}
-            own = {word, *(word[:i] + word[i + 1 :] for i in range(len(word)))} if len(word) > 3 and word not in self.usual and not word.isdigit() else ()
-            self.unusual[word] = np.array([_word_hash(w) for w in own], "uint64") + _salt("word")
-        return self.unusual[word]
-
-    def _sets(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        n, total = h.shape[1], h.sum(1, keepdims=True)
-        if n <= 10:
-            i, j = np.triu_indices(n, 1)
-            yield (total if n < 3 else total - h if n < 5 else total - h[:, i] - h[:, j]) + _salt(f"set{n}")
-            return
-        for bit in (0, 1):
-            own = (h >> np.uint64(7) & np.uint64(1)) == bit
-            part = np.where(own, h, np.uint64(0))
-            half = part.sum(1, keepdims=True)
-            key = np.concatenate([half, half - part], 1) + _salt(f"half{n}")  # less a word of the other half: the half itself
-            yield np.where(own.sum(1, keepdims=True) > 4, key, np.uint64(0))
-
-    def _heads(self, h: np.ndarray, kind: str, tails: np.ndarray) -> Iterator[np.ndarray]:
-        n, (name, role) = h.shape[1], kind.split()
-        brief = name == "brief"
-        placed = h[:, :7] * self.place[: min(n, 7)]
-
-        def first(j: int) -> np.ndarray:
-            total = placed[:, :j].sum(1, keepdims=True)
-            return (total if j < 3 else total - placed[:, :j]) + np.uint64(j)
-
-        if role == "long":
-            yield from (first(j) for j in (range(2, min(n, 7)) if brief else (7,) if n > 7 else ()))
-            return
-        if n > 2 and brief == (n - 1 < 7):
-            yield first(min(n - 1, 7))
-        if n > 3 and brief == (n - 2 < 7):  # the last word is the rest of one that was cut and does not count
-            yield np.where(tails, first(min(n - 2, 7)), np.uint64(0))
-
-    def of(self, titles: list, kind: str) -> tuple[np.ndarray, np.ndarray]:
-        """(position of the title, key) of one kind of all titles, each pair once."""
-        at, keys = [np.zeros(0, "int64")], [np.zeros(0, "uint64")]
-        if kind == "word":
-            for i, tokens in enumerate(titles):
-                for own in map(self._letters, tokens):
-                    if len(own):
-                        at.append(np.full(len(own), i))
-                        keys.append(own)
-        else:
-            by_length: dict[int, list[int]] = {}
-            for i, tokens in enumerate(titles):
-                by_length.setdefault(len(tokens), []).append(i)
-            for n, rows in by_length.items():
-                if n:
-                    h = np.array([[self._hash(w) for w in titles[i]] for i in rows], "uint64")
-                    tails = np.array([[len(titles[i][-1]) < 4] for i in rows])
-                    for block in self._sets(h) if kind == "set" else self._heads(h, kind, tails):
-                        at.append(np.repeat(np.array(rows), block.shape[1]))
-                        keys.append(block.ravel())
-        a, k = np.concatenate(at), np.concatenate(keys)
-        a, k = a[k != 0], k[k != 0]
-        order = np.lexsort((k, a))
-        a, k = a[order], k[order]
-        first = np.r_[True, (a[1:] != a[:-1]) | (k[1:] != k[:-1])][: len(a)]
-        return a[first], k[first]
+        self.words = sorted(usual)
+        self.sizes = np.array([len(w) for w in self.words], int)
+        self.bits = np.array([_letters(w) for w in self.words], "uint64")
+        self.read: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.near: dict[str, list[tuple[str, bool]]] = {}
+        self.place = [_word_hash(f"place{i}") | 1 for i in range(7)]
+        self.starts = [_salt(f"first{n}") for n in range(8)]
+        first = {w: w for w in self.words}
+
+        def root(w: str) -> str:
+            while first[w] != w:
+                w = first[w]
+            return w
+
+        for word in self.words:
+            for mate, _ in self._near(word):
+                one, two = sorted((root(word), root(mate)))
+                first[two] = one
+        self.usual = {w: _word_hash(root(w)) for w in self.words}
+        self.near = {}
+
+    def _near(self, word: str) -> list[tuple[str, bool]]:
+        """Usual words other than this that ``likeness`` may take for it, and whether by one error."""
+        if word not in self.near:
+            if len(self.near) > 200_000:
+                self.near = {}
+            n = len(word)
+            least = np.minimum(self.sizes, n)
+            limit = np.maximum(np.select([least < 4, least < 5, least < 12], [0, 1, 2], 3), np.maximum(self.sizes, n) > 3)
+            at = np.flatnonzero((np.abs(self.sizes - n) <= limit) & (np.bitwise_count(self.bits ^ np.uint64(_letters(word))) <= 2 * limit))
+            hits = [w for i in at if (w := self.words[i]) != word and _misspelt(word, w, int(limit[i]))]
+            self.near[word] = [(w, edit_distance(word, w) <= 1) for w in hits]
+        return self.near[word]
+
+    def _readings(self, word: str, one: bool) -> tuple[int, ...]:
+        """The hashes that a word is read as; one: for a single error."""
+        if word in self.usual:
+            return (self.usual[word],)
+        if (word, one) not in self.read:
+            if len(self.read) > 200_000:
+                self.read = {}
+            self.read[word, one] = (_OTHER, *sorted({self.usual[w] for w, close in self._near(word) if close or not one}))
+        return self.read[word, one]
+
+    def _searched(self, words: list[str]) -> str | None:
+        """The unusual word that a title is searched by, if it is one of those that need it."""
+        unusual = [w for w in words if w not in self.usual]
+        if unusual and (len(words) - len(unusual) < FEW or math.prod(len(self._readings(w, False)) for w in unusual) > MANY):
+            return max(unusual, key=lambda w: (len(w), -len(self._near(w)), w))
+        return None
+
+    def _same(self, words: list[str]) -> Iterator[int]:
+        salt = _salt(f"same{len(words)}")
+        if self.usual.keys() >= set(words):
+            yield sum(self.usual[w] for w in words) + salt
+        elif self._searched(words) is None:
+            for reading in itertools.product(*(self._readings(w, False) for w in words)):
+                yield sum(reading) + salt
+
+    def _first(self, words: list[str], n: int) -> Iterator[int]:
+        salt = self.starts[n]
+        for reading in itertools.product(*(self._readings(w, True) for w in words[:n])):
+            key = sum(x * p for x, p in zip(reading, self.place)) + salt
+            if _OTHER in reading and n - reading.count(_OTHER) < FEW:  # an unusual word stands in its place on both sides
+                at = reading.index(_OTHER)
+                yield from (key + _word_hash(w) * self.place[at] for w in _shorter(words[at], 1))
+            else:
+                yield key
+
+    def _short(self, words: list[str]) -> Iterator[int]:
+        n = len(words)
+        for n in {min(n - 1, 7), *([min(n - 2, 7)] if n > 3 and len(words[-1]) < 4 else [])} if n > 2 else ():
+            yield from self._first(words, n)
+
+    def _long(self, words: list[str]) -> Iterator[int]:
+        total = known = 0
+        for w in words[:7]:
+            if w not in self.usual:
+                break
+            total += self.usual[w] * self.place[known]
+            known += 1
+            if 2 <= known < len(words):
+                yield total + self.starts[known]
+        for n in range(max(known + 1, 2), min(len(words), 8)):
+            yield from self._first(words, n)
+
+    def _one_word(self, words: list[str]) -> Iterator[int]:
+        word = self._searched(words)
+        if word is not None:
+            salt = _salt(f"word{len(words)}")
+            yield salt  # meets nothing, but tells that titles of this length are searched
+            yield from (_word_hash(w) + salt for w in {w for w, _ in self._near(word)} | _shorter(word, _most(len(word))))
+
+    def _any_word(self, words: list[str]) -> Iterator[int]:
+        salt = _salt(f"word{len(words)}")
+        for word in set(words):
+            yield from (_word_hash(w) + salt for w in ([word] if word in self.usual else _shorter(word, _most(len(word)))))
+
+    def of(self, titles: list, kind: str, marks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(position of the title, key) of one kind of all titles, each pair once; with ``marks`` keys that these rule out may be left out."""
+        make = getattr(self, "_" + kind.replace(" ", "_"))
+        if marks is not None and kind == "any word":
+            titles = [words if marks[_salt(f"word{len(words)}") & (BITS - 1)] else () for words in titles]
+        own = [{k & _MASK for k in make(words)} if words else () for words in titles]
+        count = [len(x) for x in own]
+        return np.repeat(np.arange(len(own)), count), np.fromiter(itertools.chain.from_iterable(own), "uint64", sum(count))
+
+
+@functools.lru_cache(2)
+def keys_of(usual: frozenset[str]) -> Keys:
+    """What is known of words is kept from one task to the next."""
+    return Keys(usual)
 
 
 def title_keys(tokens: list[str], usual: frozenset[str], side: int) -> set[tuple]:
     """The keys of one title with what they meet on the other side; see ``Keys``."""
     maker = Keys(usual)
-    return {(name, (place == side) if "set" != name != "word" else None, k) for name, kinds in KINDS.items() for place, kind in enumerate(kinds) for k in maker.of([tokens], kind)[1].tolist()}
+    return {(name, (place == side) if kinds[0] != kinds[1] else None, k) for name, kinds in KINDS.items() for place, kind in enumerate(kinds) for k in maker.of([tokens], kind)[1].tolist()}
 
 
 def title_id(tokens: str) -> Column:
@@ -252,9 +308,9 @@ def near_titles(left: DataFrame, right: DataFrame, usual: frozenset[str]) -> Dat
     def keyed(kind: str, ref: str, marks: np.ndarray | None = None) -> DataFrame:
         @F.pandas_udf(T.ArrayType(T.LongType()))
         def keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            maker = Keys(usual)
+            maker = keys_of(usual)
             for batch in batches:
-                at, k = maker.of([x.split() for x in batch], kind)
+                at, k = maker.of([x.split() for x in batch], kind, marks)
                 k = k.view("int64")
                 if marks is not None:
                     few = marks[k & (BITS - 1)]
@@ -268,7 +324,9 @@ def near_titles(left: DataFrame, right: DataFrame, usual: frozenset[str]) -> Dat
     flag = lambda x, side: F.col(x).bitwiseAND(F.lit(side)) != 0
     out = None
     for one, two in KINDS.values():
-        marks = marked(keyed(one, "x").select("__k")) if one == "brief short" else None
+        marks = marked(keyed(one, "x").select("__k")) if one != two else None
+        if marks is not None and not marks.any():
+            continue
         a = keyed(one, "x")
         b = a.withColumnRenamed("x", "y") if one == two else keyed(two, "y", marks)
         met = a.join(b.hint("merge"), "__k").filter((F.col("x") < F.col("y")) if one == two else (F.col("x") != F.col("y")))

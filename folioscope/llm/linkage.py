@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from folioscope.llm.overlap import GENERIC
 from folioscope.llm.splits import series_key
 from folioscope.llm.titles import doi_parts, judged, may_be_one, shaped, title_id, title_pairs, usual_tokens, usual_words
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, release
 
 # Weights of the rules.
 WEIGHTS = {"title": 3.0, "prefix": 2.0, "doi": 2.0, "other doi": 2.5, "other doi and series": 1.5, "year": 1.0, "year of a prefix": 0.7, "variant": 6.0, "prior": 0.4, "exclusive": 2.0, "together": 1.0}
@@ -53,9 +53,13 @@ def candidate_pairs(papers: DataFrame, records: DataFrame) -> DataFrame:
     near = title_pairs(left.filter(F.size("tokens") > 0), right.filter(F.size("tokens") > 0), "id", "openalex_id", usual, generic)
     by_doi = t.filter("tk = 'proper'").select("id", "td").join(o.filter("ok = 'proper'").select("openalex_id", "od").hint("merge"), F.col("td") == F.col("od")).select("id", "openalex_id")
     some = generic.withColumn("generic", F.lit(True))
-    t = t.join(some, "title", "left").drop("title").withColumn("ta", words("ta")).withColumnRenamed("generic", "tg")
-    o = o.join(some, "title", "left").drop("title").withColumn("oa", words("oa")).withColumnRenamed("generic", "og")
-    pairs = cut_lineage(near.union(by_doi).distinct()).join(t.hint("merge"), "id").join(o.hint("merge"), "openalex_id").withColumn("generic", F.coalesce("tg", "og"))
+    t = t.join(some, "title", "left").drop("title").withColumnRenamed("generic", "tg")
+    o = o.join(some, "title", "left").drop("title").withColumnRenamed("generic", "og")
+    pairs = cut_lineage(near.union(by_doi).distinct())
+    del near, left, right
+    release(pairs.sparkSession)
+    pairs = pairs.join(t.hint("merge"), "id").join(o.hint("merge"), "openalex_id")
+    pairs = pairs.withColumns({"ta": words("ta"), "oa": words("oa"), "generic": F.coalesce("tg", "og")})  # texts go through the joins, as they are smaller
     by_doi = F.coalesce((F.col("td") == F.col("od")) & (F.col("tk") == "proper"), F.lit(False))
     return judged(pairs.filter(by_doi | may_be_one("ta", "oa")), "ta", "oa")  # no rule speaks for any other pair
 
@@ -137,10 +141,13 @@ def infer(pairs: DataFrame) -> DataFrame:
     Pairs of one record, one title and like evidence are one row with a count, so a record is small however many
     papers bear its title; records are spread over tasks by hash.
     """
+    spark = pairs.sparkSession
     rows = cut_lineage(with_evidence(pairs))
+    del pairs
+    release(spark)
     same = ["openalex_id", "tkey", *_EVIDENCE]
     cells = rows.groupBy(*same).agg(F.count("*").alias("papers"))
-    spread = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(spread, -(-rows.count() // ROWS_PER_TASK))
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:

@@ -338,7 +338,10 @@ def near_titles(left: DataFrame, right: DataFrame, usual: frozenset[str]) -> Dat
         del a, b, met, pairs, near
         release(spark)
     out = out.distinct()
-    return cut_lineage(out.union(out.select("y", "x")).filter(flag("x", 1) & flag("y", 2)).select(F.col("x").bitwiseAND(F.lit(~3)).alias("a"), F.col("y").bitwiseAND(F.lit(~3)).alias("b")))
+    found = cut_lineage(out.union(out.select("y", "x")).filter(flag("x", 1) & flag("y", 2)).select(F.col("x").bitwiseAND(F.lit(~3)).alias("a"), F.col("y").bitwiseAND(F.lit(~3)).alias("b")))
+    del rows, every, out
+    release(spark)
+    return found
 
 
 def title_pairs(left: DataFrame, right: DataFrame, key: str, other: str, usual: frozenset[str], generic: DataFrame) -> DataFrame:

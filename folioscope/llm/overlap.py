@@ -43,14 +43,15 @@ def cross_split_overlaps(tests: DataFrame, train: DataFrame) -> DataFrame:
     """(source_split, test_id, train_id, containment): evaluation papers and the training papers that are the same work.
 
     ``tests`` has source_split beside id, title, venue, year and doi; ``train`` has the latter. Null and empty titles
-    meet nothing; a title that many works bear counts only inside one volume; repeated rows count once; ties are all
-    reported; other columns are not read; an empty table gives an empty result.
+    meet nothing; a title that many works bear counts only inside one volume; repeated rows count once, and every
+    different row of one id is compared; ties are all reported, each pair with its largest containment; other columns
+    are not read; an empty table gives an empty result.
     """
     usual = usual_words(train, "title")
     held = lambda df: df.withColumn("title", title_id("tokens")).withColumn("text", F.array_join("tokens", " ")).drop("tokens")
     words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " "))
-    t = held(prepared(train, usual).dropDuplicates(["id"]))
-    e = held(prepared(tests, usual).dropDuplicates(["source_split", "id"]).withColumn("ref", F.xxhash64("source_split", "id")))
+    t = held(prepared(train, usual).distinct())
+    e = held(prepared(tests, usual).distinct().withColumn("ref", F.xxhash64("source_split", "id")))
     t, e = cut_lineage(t), cut_lineage(e)
     plain = usual | usual_tokens(t.select(words.alias("tokens")), "tokens")
     generic = cut_lineage(generic_titles(t))
@@ -74,5 +75,6 @@ def cross_split_overlaps(tests: DataFrame, train: DataFrame) -> DataFrame:
     variant_same = (F.col("ev") == F.col("tv")) | (doi_same & (F.col("ec") | F.col("tc")))
     whole = (F.col("j.relation") == "same") & (doi_same | (year_near & ~(doi_other & (series_other | F.coalesce("generic", F.lit(False))))))
     part = (F.col("j.relation") == "prefix") & (doi_same | (year_near & ~doi_other & ~series_other))
-    found = pairs.filter(variant_same & (whole | part))
-    return found.select("source_split", "test_id", "train_id", "containment").distinct()
+    one_volume = F.coalesce(F.col("ed") == F.col("td"), F.lit(False)) | F.coalesce((F.col("es") == F.col("ts")) & (F.col("ey") == F.col("ty")), F.lit(False)) | F.coalesce((F.col("ep") != "") & (F.col("ep") == F.col("tp")), F.lit(False))
+    found = pairs.filter(variant_same & (whole | part) & (F.col("generic").isNull() | one_volume))
+    return found.groupBy("source_split", "test_id", "train_id").agg(F.max("containment").alias("containment"))

@@ -342,6 +342,31 @@ def test_misspelt_titles_of_volumes_overlap_inside_their_volume(spark):
     assert got == [(1, 50), (2, 51), (4, 51)]
 
 
+def test_every_row_of_one_id_is_compared(spark):
+    titles_of = ["Lazy solving of weighted hex programs for kitchen planning", "Exact counting of metric logic programs in tram routing", "Modular abduction for hospital fault isolation with bases"]
+    train = spark.createDataFrame([(1, t, "kacu", 2020, None) for t in titles_of] + [(2, GENERIC_TRAIN[0][1], "serya", 2018, None), (2, "Stratified bases of railway isolation", "serya", 2018, None), *GENERIC_TRAIN], PAPER)
+    rows = [(i, t.upper(), "kacu", 2020, None) for i, t in enumerate(titles_of)] + [(9, titles_of[0], "kacu", 2020, None), (9, titles_of[1], "kacu", 2020, None), (7, GENERIC_TRAIN[0][1], "kacu", 2018, None), (7, "Stratified bases of railway isolation", "kacu", 2018, None)]
+    df = spark.createDataFrame([("public_test", *r) for r in rows], "source_split string, " + PAPER)
+    got = sorted((r.test_id, r.train_id) for r in overlap.cross_split_overlaps(df, train).collect())
+    assert got == [(0, 1), (1, 1), (2, 1), (7, 2), (9, 1)]
+
+
+def test_overlaps_are_those_of_all_pairs(spark, monkeypatch):
+    draw = random.Random(3)
+    words = [*_TWELVE, *"north harbour railway stratified logic counting metric tram".split()]
+    typed = lambda w: w[:1] + w[2:3] + w[1:2] + w[3:] if draw.random() < 0.3 else w
+    paper = lambda i, t: (i, t, draw.choice(["kacu", "hezo", None]), draw.choice([2019, 2020, None]), draw.choice([None, f"10.5555/x.{draw.randint(1, 40)}", "10.5555/kacu.proc1"]))
+    bases = [" ".join(draw.sample(words, draw.randint(3, 9))) for _ in range(12)]
+    train = spark.createDataFrame([paper(i, " ".join(map(typed, draw.choice(bases).split()))) for i in range(300)] + [paper(i, b) for i, b in enumerate(bases * 6, 300)], PAPER)
+    tests = [paper(i, " ".join(map(typed, draw.choice(bases).split()[: draw.randint(3, 9)]))) for i in range(150)]
+    df = spark.createDataFrame([("public_test", *r) for r in tests], "source_split string, " + PAPER)
+    run = lambda: {tuple(r) for r in overlap.cross_split_overlaps(df, train).collect()}
+    got = run()
+    monkeypatch.setattr(overlap, "title_pairs", lambda left, right, key, other, usual, generic: left.select(key).distinct().crossJoin(right.select(other).distinct()))
+    monkeypatch.setattr(overlap, "may_be_one", lambda a, b: F.lit(True))
+    assert len(got) > 200 and got == run()
+
+
 def test_no_table_is_sent_to_the_driver_whole(spark, tmp_path):
     rows = spark.range(300).selectExpr("id", "concat_ws(' ', 'lazy solving', md5(cast(id as string)), md5(cast(-id as string)), 'for kitchens') as title", "'kacu' as venue", "2020 as year", "cast(null as string) as doi")
     rows.write.parquet(str(tmp_path / "t"))

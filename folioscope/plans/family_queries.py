@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,8 @@ from folioscope.operators import enrich as en
 from folioscope.operators import features as fe
 from folioscope.operators import metrics as me
 from folioscope.operators import ranking as rk
-from folioscope.operators.marks import kept, marked
+from folioscope.operators.edits import edits
+from folioscope.operators.marks import BITS, First, kept, marked
 from folioscope.operators.profile import domain_distribution
 from folioscope.plans.base import CUTS, PAPERS_SQL, TESTS_SQL, held_out, papers, with_folds
 from folioscope.plans.ordinal_queries import MET, P, PF, _DOI, _TF, r6
@@ -310,11 +312,18 @@ def search(queries: DataFrame, titles: DataFrame, most: int = 5, words: int = 3)
     known, sought = marked(asked.select(F.explode("rare.h").alias("h")).distinct()), marked(wanted.select("key").distinct())
 
     @F.pandas_udf("array<bigint>")
-    def keys(hashes: pd.Series) -> pd.Series:
-        held = subset_sums([kept(x, known) for x in hashes], words)
-        return pd.Series([kept(x, sought) for x in held], dtype=object)
-
-    found = titles.select(F.col("id").alias("train_id"), F.explode(keys(F.transform(parts, lambda w: F.xxhash64(w)))).alias("key"))
+    def keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        first = First(most)
+        for ids, hashes in batches:
+            held = subset_sums([kept(x, known) for x in hashes], words)
+            n, flat = len(held), np.concatenate(held)
+            at = np.flatnonzero(sought[flat & (BITS - 1)])
+            row = np.repeat(np.arange(n), [len(x) for x in held])[at]
+            some = first.may_stay(flat[at], ids.to_numpy()[row])
+            yield pd.Series(np.split(flat[at[some]], np.searchsorted(row[some], np.arange(1, n))), dtype=object)
+
+    ids = F.coalesce(F.col("id").cast("long"), F.lit(-(1 << 63)))
+    found = titles.select(F.col("id").alias("train_id"), F.explode(keys(ids, F.transform(parts, lambda w: F.xxhash64(w)))).alias("key"))
     first = rk.top_per_group(found, ["key"], [F.col("train_id")], most)
     scored = wanted.join(first, "key").groupBy("rare", "train_id").agg(F.max("s").alias("s"))
     best = rk.top_per_group(scored, ["rare"], [F.desc(F.round("s", 9)), F.col("train_id")], most)
@@ -342,8 +351,8 @@ def _(s, d):
     near = search(a.select("id", "title"), b.select("id", "title")).select("id", "train_id")
     near = near.join(a.select("id", plain("title").alias("q"), F.col("year").alias("qy")), "id").join(b.select(F.col("id").alias("train_id"), plain("title").alias("c"), F.col("year").alias("cy")), "train_id")
     bonus = F.when(F.abs(F.col("qy") - F.col("cy")) <= 1, 0.05).when(F.abs(F.col("qy") - F.col("cy")) <= 3, 0.02).otherwise(0.0)
-    sim = 1 - F.levenshtein("q", "c") / F.greatest(F.length("q"), F.length("c"))
-    best = near.withColumns({"sim": sim, "score": F.round(sim + bonus, 9)}).groupBy("id").agg(F.max_by(F.struct("train_id", "sim"), F.struct("score", -F.col("train_id"))).alias("b"))
+    near = near.withColumn("sim", 1 - edits("q", "c") / F.greatest(F.length("q"), F.length("c"))).select("id", "train_id", "sim", bonus.alias("bonus"))
+    best = near.withColumn("score", F.round(F.col("sim") + F.col("bonus"), 9)).groupBy("id").agg(F.max_by(F.struct("train_id", "sim"), F.struct("score", -F.col("train_id"))).alias("b"))
     return best.select("id", "b.train_id", r6("b.sim").alias("sim"), (F.col("b.sim") >= FOUND).alias("found"))
 
 

@@ -188,6 +188,65 @@ def test_title_match_of_titles_of_frequent_words(spark, tmp_path):
     assert got[0] == got[2] == (0, True) and got[39999] == (39999, True) and got[1] == (1, True)
 
 
+def test_edit_distances_of_many_pairs_at_once(spark):
+    import random
+
+    from folioscope.operators.edits import edit_distances, edits
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    draw, pairs = random.Random(4), [("", ""), ("", "abc"), ("abc", "")]
+    for n in [1, 2, 63, 64, 65, 127, 128, 129, 193] * 20:
+        a = "".join(draw.choice("ab c9") for _ in range(n))
+        b = list(a)
+        for _ in range(draw.randint(0, 9)):
+            at = draw.randint(0, len(b))
+            b[at : at + draw.randint(0, 1)] = draw.choice(["", "x", "a", " b"])
+        pairs.append((a, "".join(b) if draw.random() < 0.7 else "".join(draw.choice("ab c9z") for _ in range(draw.randint(0, 200)))))
+    want = [distance(a, b) for a, b in pairs]
+    assert edit_distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == want and not len(edit_distances([], []))
+    df = spark.createDataFrame(pairs, "a string, b string").coalesce(1)
+    assert [r.d for r in df.select(edits("a", "b").alias("d")).collect()] == want
+
+
+def test_title_search_lets_few_titles_of_a_set_of_words_go_on():
+    import numpy as np
+
+    from folioscope.operators.marks import First
+
+    draw = np.random.default_rng(6)
+    first, every, left = First(5), [], []
+    for _ in range(40):
+        keys = np.concatenate([draw.choice([3, 3 + First.SLOTS, -7], 900), draw.integers(-(1 << 62), 1 << 62, 100), np.zeros(5, int)])
+        numbers = draw.permutation(1 << 20)[: len(keys)]
+        at = first.may_stay(keys, numbers)
+        assert (np.diff(at) > 0).all()
+        every += zip(keys.tolist(), numbers.tolist())
+        left += zip(keys[at].tolist(), numbers[at].tolist())
+    smallest = lambda rows: {k: sorted(n for x, n in rows if x == k)[:5] for k in (3, 3 + First.SLOTS, -7, 0)}
+    assert smallest(every) == smallest(left) and len(left) < 40 * 115 and not len(first.may_stay(keys[:0], numbers[:0]))
+    assert {k for k, _ in every} == {k for k, _ in left}
+
+
+def test_title_search_with_every_title_on_one_side_frequent(spark):
+    from folioscope.plans import family_queries as fq
+
+    rows = spark.range(60_000, numPartitions=2).selectExpr("59999 - id as id", "concat('plans of logic', if(id % 3 = 0, ' sets', ''), if(id % 7 = 0, ' and agents', '')) as title")
+    asked = spark.createDataFrame([(1, "Logic of sets"), (2, "agents"), (3, "plans")], "id long, title string")
+    got: dict = {}
+    for r in fq.search(asked, rows).collect():
+        got.setdefault(r.id, []).append(r.train_id)
+    held = {i: set(f"plans of logic{' sets' * ((59999 - i) % 3 == 0)}{' and agents' * ((59999 - i) % 7 == 0)}".split()) for i in range(200)}
+    smallest = lambda *words: [i for i in held if set(words) <= held[i]][:5]
+    assert {k: sorted(v) for k, v in got.items()} == {1: smallest("logic", "of", "sets"), 2: smallest("agents"), 3: smallest("plans")}
+
+
 def test_quantiles_and_ranks_against_brute_force(spark):
     import random
 

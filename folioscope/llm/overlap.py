@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folioscope.llm.splits import series_key
 from folioscope.llm.titles import doi_parts, judge, may_be_one, shaped, title_id, title_pairs, usual_tokens, usual_words
-from folioscope.session import cut_lineage
+from folioscope.session import cut_lineage, release
 
 CONTAINED = 0.6  # share of the evaluation title's words that the training title holds
 GENERIC = 4  # a title of so many different proper DOIs says nothing about the work
@@ -49,19 +49,20 @@ def cross_split_overlaps(tests: DataFrame, train: DataFrame) -> DataFrame:
     """
     usual = usual_words(train, "title")
     held = lambda df: df.withColumn("title", title_id("tokens")).withColumn("text", F.array_join("tokens", " ")).drop("tokens")
-    words = F.when(F.col("text") == "", F.array().cast("array<string>")).otherwise(F.split("text", " "))
-    t = held(prepared(train, usual).distinct())
-    e = held(prepared(tests, usual).distinct().withColumn("ref", F.xxhash64("source_split", "id")))
-    t, e = cut_lineage(t), cut_lineage(e)
-    plain = usual | usual_tokens(t.select(words.alias("tokens")), "tokens")
+    words = lambda text: F.when(F.col(text) == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    t, e = cut_lineage(held(prepared(train, usual)).distinct()), cut_lineage(held(prepared(tests, usual)).distinct().withColumn("ref", F.xxhash64("source_split", "id")))
+    release(t.sparkSession)
+    plain = usual | usual_tokens(t.select(words("text").alias("tokens")), "tokens")
     generic = cut_lineage(generic_titles(t))
-    side = lambda df, key: df.filter("text <> ''").select(key, "title", words.alias("tokens"), _volumes("series", "year", "doi_key", "page").alias("volumes"))
+    side = lambda df, key: df.filter("text <> ''").select(key, "title", words("text").alias("tokens"), _volumes("series", "year", "doi_key", "page").alias("volumes"))
     near = cut_lineage(title_pairs(side(e, "ref"), side(t.withColumnRenamed("id", "train_id"), "train_id"), "ref", "train_id", plain, generic))
+    release(t.sparkSession)
     some = generic.withColumn("generic", F.lit(True))
-    t, e = t.withColumn("tokens", words).join(some, "title", "left"), e.withColumn("tokens", words).join(some, "title", "left")
-    ours = e.select("ref", "source_split", F.col("id").alias("test_id"), F.col("tokens").alias("ea"), F.col("variant").alias("ev"), F.col("cut").alias("ec"), F.col("year").alias("ey"), F.col("doi_key").alias("ed"), F.col("doi_kind").alias("ek"), F.col("page").alias("ep"), F.col("series").alias("es"), F.col("generic").alias("eg"))
-    theirs = t.select(F.col("id").alias("train_id"), F.col("tokens").alias("ta"), F.col("variant").alias("tv"), F.col("cut").alias("tc"), F.col("year").alias("ty"), F.col("doi_key").alias("td"), F.col("doi_kind").alias("tk"), F.col("page").alias("tp"), F.col("series").alias("ts"), F.col("generic").alias("tg"))
-    pairs = near.join(ours.hint("merge"), "ref").join(theirs.hint("merge"), "train_id").filter(may_be_one("ea", "ta")).withColumn("generic", F.coalesce("eg", "tg"))
+    t, e = t.join(some, "title", "left"), e.join(some, "title", "left")
+    ours = e.select("ref", "source_split", F.col("id").alias("test_id"), F.col("text").alias("ea"), F.col("variant").alias("ev"), F.col("cut").alias("ec"), F.col("year").alias("ey"), F.col("doi_key").alias("ed"), F.col("doi_kind").alias("ek"), F.col("page").alias("ep"), F.col("series").alias("es"), F.col("generic").alias("eg"))
+    theirs = t.select(F.col("id").alias("train_id"), F.col("text").alias("ta"), F.col("variant").alias("tv"), F.col("cut").alias("tc"), F.col("year").alias("ty"), F.col("doi_key").alias("td"), F.col("doi_kind").alias("tk"), F.col("page").alias("tp"), F.col("series").alias("ts"), F.col("generic").alias("tg"))
+    pairs = near.join(ours.hint("merge"), "ref").join(theirs.hint("merge"), "train_id")
+    pairs = pairs.withColumns({"ea": words("ea"), "ta": words("ta"), "generic": F.coalesce("eg", "tg")}).filter(may_be_one("ea", "ta"))  # texts go through the joins, as they are smaller
     # words that both hold, misspelt ones counted: of all words of the evaluation title, and where one of the two is cut, of the cut one
     pairs = pairs.withColumn("j", judge(F.array_join("ea", " "), F.array_join("ta", " ")))
     shared = F.round(F.col("j.score") * (F.size("ea") + F.size("ta")) / (1 + F.col("j.score")))

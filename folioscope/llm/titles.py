@@ -304,6 +304,8 @@ def near_titles(left: DataFrame, right: DataFrame, usual: frozenset[str]) -> Dat
     rows = left.select("title", F.array_join("tokens", " ").alias("text"), F.lit(1).alias("side")).union(right.select("title", F.array_join("tokens", " ").alias("text"), F.lit(2).alias("side")))
     every = rows.filter("text <> ''").groupBy("title", "text").agg(F.bit_or("side").cast("long").alias("side"))
     every = cut_lineage(every.select(F.col("title").bitwiseOR(F.col("side")).alias("ref"), "text"))
+    del rows
+    release(spark)
 
     def keyed(kind: str, ref: str, marks: np.ndarray | None = None) -> DataFrame:
         @F.pandas_udf(T.ArrayType(T.LongType()))
@@ -339,7 +341,7 @@ def near_titles(left: DataFrame, right: DataFrame, usual: frozenset[str]) -> Dat
         release(spark)
     out = out.distinct()
     found = cut_lineage(out.union(out.select("y", "x")).filter(flag("x", 1) & flag("y", 2)).select(F.col("x").bitwiseAND(F.lit(~3)).alias("a"), F.col("y").bitwiseAND(F.lit(~3)).alias("b")))
-    del rows, every, out
+    del every, out
     release(spark)
     return found
 
